@@ -50,3 +50,12 @@ def materialise(df: DataFrame) -> DataFrame:
 def scratch_table(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for a table that a plan writes and reads again."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def let_workers_import(spark: SparkSession) -> None:
+    """Add this package's folder to the import path of the Python workers, wherever the driver was started."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
