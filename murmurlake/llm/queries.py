@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("q_pieces", "q_canon", "q_terms", "q_encode", "q_mixing", "q_spam")
+_MODULES = ("q_pieces", "q_canon", "q_terms", "q_encode", "q_mixing", "q_spam", "q_turns")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
