@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from murmurlake.plans import intervals
+from murmurlake.plans import intervals, tokens
 
 FLAGSHIP = "p1_found"
-_MODULES = (intervals,)
+_MODULES = (intervals, tokens)
 
 
 def queries() -> dict:
