@@ -74,16 +74,16 @@ def p7_shares(spark: SparkSession, root: str) -> DataFrame:
     rows = _targets(spark, root).join(F.broadcast(plan), "source", "left").join(F.broadcast(got), "source", "left")
     zero = {c: 0 for c in ("held_tokens", "budget_tokens", "taken_tokens", "most_repeats", "documents")}
     rows = rows.fillna(zero)
-    sums = rows.agg(F.sum("held_tokens").alias("__total"), F.sum("taken_tokens").alias("__taken"))
-    return rows.crossJoin(F.broadcast(sums)).select(
+    held, taken_all = rows.agg(F.sum("held_tokens")).scalar(), rows.agg(F.sum("taken_tokens")).scalar()
+    return rows.select(
         "source",
         "target_share",
         "max_repeats",
         "held_tokens",
-        (F.col("target_share") * F.col("__total")).alias("target_tokens"),
+        (F.col("target_share") * held).alias("target_tokens"),
         "budget_tokens",
         "taken_tokens",
-        F.try_divide(F.col("taken_tokens"), F.col("__taken")).alias("actual_share"),
+        F.try_divide(F.col("taken_tokens"), taken_all).alias("actual_share"),
         "documents",
         "most_repeats",
     )
