@@ -92,7 +92,7 @@ class _Coder:
             else:
                 step = getattr(self, f"on_{c.lower()}", None) if c.isascii() else None
                 i += step(i) if step else 1
-        return "".join(self.one)[:4], "".join(self.two)[:4]
+        return "".join(self.one), "".join(self.two)
 
     def doubled_l(self, i: int) -> tuple[str, ...]:
         spanish = (i == self.n - 3 and self.at(i - 1, "ILLO", "ILLA", "ALLE")) or ((self.w.endswith(("AS", "OS", "A", "O"))) and self.at(i - 1, "ALLE"))

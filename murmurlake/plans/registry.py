@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from murmurlake.plans import intervals, tokens
+from murmurlake.plans import detect, intervals, tokens
 
 FLAGSHIP = "p1_found"
-_MODULES = (intervals, tokens)
+_MODULES = (intervals, tokens, detect)
 
 
 def queries() -> dict:
