@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from murmurlake.functions import phonetic as P
 from murmurlake.functions import text as T
+from murmurlake.session import materialise
 
 #: Thresholds that define the results (fixed values).
 KNOWN_ZIPF = 3.0
@@ -87,14 +88,14 @@ def learned(w: DataFrame, terms: DataFrame, freq: DataFrame, min_count: int = LE
     A cluster seen fewer than ``TRUST_COUNT`` times whose canonical spelling nobody knows but which sounds
     and looks like a known word is suspected of being that word; it is not learned.
     """
-    grouped = clusters(learnable(w, terms, freq).filter(F.col("n") >= min_count))
+    grouped = materialise(clusters(learnable(w, terms, freq).filter(F.col("n") >= min_count)))
     totals = grouped.groupBy("transcript_id", "canonical").agg(F.sum("n").alias("counts"), F.max(F.when(F.col("cleaned") == F.col("canonical"), F.col("display"))).alias("shown"))
     doubted = totals.filter(F.col("counts") < TRUST_COUNT).join(freq.filter(F.col("zipf") > OOV_ZIPF).select(F.col("cleaned").alias("canonical")), "canonical", "left_anti")
     near = neighbours(doubted.select(F.col("canonical").alias("term")), freq)
     doubted = doubted.join(near, F.col("canonical") == F.col("term"))
     capital = T.is_all_caps(F.left("shown", F.lit(1)))
     offered = F.when(capital, F.transform("neighbours", lambda x: F.concat(F.upper(F.left(x, F.lit(1))), F.substring(x, 2, 1 << 20)))).otherwise(F.col("neighbours"))
-    doubted = doubted.select("transcript_id", "canonical", offered.alias("neighbours"))
+    doubted = materialise(doubted.select("transcript_id", "canonical", offered.alias("neighbours")))
     suspects = grouped.join(doubted, ["transcript_id", "canonical"]).select("transcript_id", F.col("cleaned").alias("variant"), "neighbours")
     kept = grouped.join(totals, ["transcript_id", "canonical"]).join(doubted.select("transcript_id", "canonical"), ["transcript_id", "canonical"], "left_anti")
     own = F.col("cleaned") == F.col("canonical")

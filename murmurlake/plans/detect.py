@@ -12,12 +12,13 @@ from murmurlake.operators import tokens as O
 from murmurlake.operators import vocab as V
 from murmurlake.operators.records import once
 from murmurlake.plans import tokens as q
+from murmurlake.session import materialise
 from murmurlake.sources.tables import table
 
 
 def _inputs(spark: SparkSession, root: str) -> D.Inputs:
-    w = O.words(table(spark, root, "cues"))
-    freq = O.frequencies(O.with_clean(w))
+    w = materialise(O.words(table(spark, root, "cues")))
+    freq = materialise(O.frequencies(O.with_clean(w)))
     terms = table(spark, root, "transcripts").select(F.explode(T.list_terms(F.col("priming_terms"))).alias("term"))
     return D.inputs(w, terms, freq)
 

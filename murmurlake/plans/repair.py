@@ -207,10 +207,10 @@ ORACLES = {
     "score_report": _HITS
     + """, cc AS (SELECT count_if(verdict = 'should-flag' AND touched) AS tp, count_if(verdict = 'should-flag' AND NOT touched) AS fn,
         count_if(verdict = 'should-not-flag' AND NOT touched) AS tn, count_if(verdict = 'should-not-flag' AND touched) AS fp FROM h),
-    g AS (SELECT count(*) AS flags, count_if(list_contains(string_split(detector, '+'), 'oov') AND len(coalesce(candidates, [])) = 0) AS cold,
+    gg AS (SELECT count(*) AS flags, count_if(list_contains(string_split(detector, '+'), 'oov') AND len(coalesce(candidates, [])) = 0) AS cold,
         count_if(flag_id IN (SELECT flag_id FROM m JOIN cases USING (case_id) WHERE verdict = 'should-flag')) AS touching FROM f)
     SELECT CASE WHEN tp + fn = 0 THEN 1.0 ELSE tp / (tp + fn) END AS recall, CASE WHEN tn + fp = 0 THEN 1.0 ELSE tn / (tn + fp) END AS specificity,
-      cold / flags AS cold_rate, touching / flags AS flag_precision, tp, fn, tn, fp, flags, cold, touching FROM cc, g""",
+      cold / flags AS cold_rate, touching / flags AS flag_precision, tp, fn, tn, fp, flags, cold, touching FROM cc, gg""",
     "rolling_day": """WITH e AS (SELECT *, epoch_us(ts) AS at_us, floor(value * 100)::BIGINT AS cents FROM events)
       SELECT event_id, (sum(coalesce(cents, 0)) OVER (PARTITION BY user_id ORDER BY at_us RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW))::BIGINT AS used FROM e""",
     "next_returns": """WITH e AS (SELECT user_id, epoch_us(ts) AS at_us, floor(value * 100)::BIGINT AS cents FROM events),

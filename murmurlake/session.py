@@ -41,15 +41,34 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage and survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_SCRATCH: list[str] = []
 
 
 def scratch_table(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for a table that a plan writes and reads again."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to a table in the shared folder and read it back.
+
+    This cuts lineage, survives lost executors, and, other than a checkpoint, keeps columns apart and lets
+    the optimiser know the size, so small tables are broadcast only if they are small.
+    """
+    spark = df.sparkSession
+    path = scratch_table(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the tables that this process wrote to the shared folder; what reads them must be over."""
+    jvm = spark.sparkContext._jvm
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def let_workers_import(spark: SparkSession) -> None:
