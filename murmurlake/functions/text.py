@@ -135,7 +135,7 @@ def list_terms(raw: Column) -> Column:
 
 def title_phrases(title: Column) -> Column:
     """Phrases of a title: cut at bars, spaced dashes, colons and commas; first spelling of each kept."""
-    parts = F.filter(F.transform(F.split(title, r"\||\s[-–—]\s|:|,"), F.trim), lambda t: t != "")
+    parts = F.filter(F.transform(F.split(title, r"\||\s[-–—]\s|:|,"), lambda t: F.trim(t)), lambda t: t != "")
     return F.aggregate(
         parts,
         F.array().cast("array<string>"),
@@ -185,7 +185,7 @@ def oov_confidence(zipf: Column) -> Column:
 def clamp_confidence(raw: Column) -> Column:
     """A number from 0 to 1; 0 for what is no number."""
     v = raw.try_cast("double")
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(~F.isnan(v), v))), F.lit(0.0))
+    return F.when(v.isNull() | F.isnan(v), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)))
 
 
 def without_fence(reply: Column) -> Column:

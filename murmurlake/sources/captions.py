@@ -79,4 +79,5 @@ def compose_captions(cues: DataFrame, kind: str = "srt") -> DataFrame:
 
 def write_captions(cues: DataFrame, path: str, kind: str = "srt") -> None:
     """Write one text file for each transcript, in folders named by it."""
-    compose_captions(cues, kind).write.mode("overwrite").partitionBy("transcript_id").option("lineSep", "").text(path)
+    files = compose_captions(cues, kind).withColumn("content", F.rtrim("content", F.lit("\n")))
+    files.write.mode("overwrite").partitionBy("transcript_id").text(path)

@@ -19,7 +19,7 @@ def read_tokens(spark: SparkSession, path: str, tags: DataFrame | None = None) -
     ``tags`` (call_id, id, entity_type) resolves the ids of ``wer_tags``.
     """
     raw = spark.read.format("text").option("wholetext", True).load(path).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*?)(?:\.[^./]+)?$", 1).alias("call_id"), F.split(F.rtrim("value", F.lit("\r\n")), r"\r?\n").alias("lines"))
-    head = F.transform(F.split(F.col("lines")[0], r"\|"), F.trim)
+    head = F.transform(F.split(F.col("lines")[0], r"\|"), lambda c: F.trim(c))
     flat = raw.select("call_id", head.alias("head"), F.posexplode(F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0)))).alias("pos", "line"))
     cells = flat.withColumn("v", F.split("line", r"\|", -1))
 
@@ -65,6 +65,8 @@ def read_state(spark: SparkSession, path: str) -> DataFrame:
     )
     rows = spark.read.json(path, schema=schema, multiLine=True).filter(F.col("id").isNotNull())
     rows = rows.withColumn("last_activity", F.coalesce("last_activity", "created_at"))
+    lists = {c: F.coalesce(c, F.array().cast(rows.schema[c].dataType)) for c in ("flags", "corrections", "decisions")}
+    rows = rows.withColumns(lists)
     zipped = F.arrays_zip("flags", "corrections", "decisions")
     flat = rows.select("id", "session_id", F.try_to_timestamp("created_at").alias("created_at"), F.try_to_timestamp("last_activity").alias("last_activity"), F.posexplode(zipped).alias("flag_no", "z"))
     return flat.select("id", "session_id", "created_at", "last_activity", "flag_no", "z.flags.*", F.col("z.corrections").alias("correction"), F.col("z.decisions").alias("decision"))
