@@ -23,6 +23,12 @@ EDGE = "\"'`.,;:!?()[]{}<>«»•–—…“”‘’"
 BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 BLANK_CLASS = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 BUCKETS = 64
+_POSTING = "field string, owner string, term string, occurrences bigint, rows bigint"
+SCHEMAS = {
+    "postings": _POSTING,
+    "merged": f"{_POSTING}, __had bigint, d_occ bigint, __touched boolean",
+    "counts": "field string, term string, total bigint, owners bigint, keys bigint",
+}
 
 
 def words_of(text: Column) -> Column:
@@ -60,17 +66,21 @@ class TermCounts:
         return f"{self.path}/v{self.version if version is None else version}/{name}"
 
     def postings(self) -> DataFrame:
-        return self.spark.read.parquet(self._at("postings"))
+        return self._read("postings", self.version)
 
     def counts(self) -> DataFrame:
-        return self.spark.read.parquet(self._at("counts"))
+        return self._read("counts", self.version)
+
+    def _read(self, name: str, version: int) -> DataFrame:
+        # with its schema, as a state may be empty
+        return self.spark.read.schema(f"{SCHEMAS[name]}, bucket int").parquet(self._at(name, version))
 
     def _write(self, df: DataFrame, name: str, version: int) -> DataFrame:
-        bucket = F.pmod(F.xxhash64("field", "term"), F.lit(self.buckets))
+        bucket = F.pmod(F.xxhash64("field", "term"), F.lit(self.buckets)).cast("int")
         where = self._at(name, version)
         # one file per bucket and task is enough: rows of a bucket are brought together first
         df.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(where)
-        return self.spark.read.parquet(where)
+        return self._read(name, version)
 
     def apply(self, signed: DataFrame) -> "TermCounts":
         """Merge a change set; columns field, owner, term, n, sign. Returns self at its next version."""
