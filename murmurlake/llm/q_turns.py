@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from murmurlake.llm.boundaries import adjacent, decided, fit_on, labelled
 from murmurlake.llm.turns import aliases, cue_words, token_words, turns
 from murmurlake.operators.records import once
 from murmurlake.session import materialise
@@ -21,16 +22,29 @@ def _forms(spark: SparkSession, root: str) -> list[str]:
     return sorted(r["form"] for r in rows)
 
 
+def _cues(spark: SparkSession, root: str) -> DataFrame:
+    cues = once(table(spark, root, "cues").select("cue_id", "transcript_id", "start_us", "end_us", "cue_order", "text"), "cue_id")
+    return cues.select(F.col("transcript_id").alias("owner"), F.col("start_us").alias("o1"), F.col("cue_order").cast("bigint").alias("o2"), F.col("cue_id").alias("id"), F.col("end_us").alias("ends"), "text")
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     forms = _forms(spark, root)
     roster = materialise(aliases(table(spark, root, "speakers")))
-    cues = once(table(spark, root, "cues").select("cue_id", "transcript_id", "start_us", "cue_order", "text"), "cue_id")
-    cues = cues.select(F.col("transcript_id").alias("owner"), F.col("start_us").alias("o1"), F.col("cue_order").cast("bigint").alias("o2"), F.col("cue_id").alias("id"), "text")
     tokens = table(spark, root, "nlp_tokens").filter(F.col("side") == "hypothesis")
     tokens = once(tokens.select("token_id", "call_id", "pos", "token", "speaker"), "token_id")
     tokens = tokens.select(F.col("call_id").alias("owner"), F.col("pos").cast("bigint").alias("o1"), F.lit(0).cast("bigint").alias("o2"), F.col("token_id").alias("id"), "token", "speaker")
-    return turns(cue_words(cues, roster, forms).unionByName(token_words(tokens, roster, forms)))
+    return turns(cue_words(_cues(spark, root), roster, forms).unionByName(token_words(tokens, roster, forms)))
+
+
+def p4_boundaries(spark: SparkSession, root: str) -> DataFrame:
+    """Boosted decisions for the cues of transcripts without a roster, fitted on those with one."""
+    cues = _cues(spark, root)
+    roster = materialise(aliases(table(spark, root, "speakers")))
+    pairs = materialise(adjacent(cues))
+    model = fit_on(labelled(pairs, cue_words(cues, roster, _forms(spark, root))))
+    unlabelled = pairs.join(roster.select("owner").distinct(), "owner", "left_anti")
+    return decided(unlabelled, model).select(F.col("owner").alias("transcript_id"), F.col("id").alias("cue_id"), F.round("probability", 6).alias("probability"), "changes")
 
 
-QUERIES = {"p4_found": p4_found}
+QUERIES = {"p4_found": p4_found, "p4_boundaries": p4_boundaries}
 ORACLES: dict = {}
