@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from murmurlake.plans import detect, intervals, repair, tokens
+from murmurlake.plans import detect, explain, intervals, repair, tokens
 
 FLAGSHIP = "p1_found"
-_MODULES = (intervals, tokens, detect, repair)
+_MODULES = (intervals, tokens, detect, repair, explain)
 
 
 def queries() -> dict:
