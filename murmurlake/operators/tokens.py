@@ -67,25 +67,22 @@ def contexts(w: DataFrame, spans: DataFrame, key: str, max_words: int = MAX_CONT
     """key, context: the sentences a span (transcript_id, lo, hi) touches, joined by blanks, or, where they
     have more than ``max_words`` words, the span and up to ``window`` words either side within them.
 
-    Spans that touch no word have no row. Sentence numbers of a span's two ends come from equi-joins on
-    single words, and the words of the chosen range from an equi-join on sentence numbers.
+    Spans that touch no word have no row. Sentences are only known by their ends here, so one that runs
+    over a whole transcript without punctuation is never gathered; the words shown are fetched by position.
     """
-    s = sentences(w)
-    gi = with_sentence(w).select("transcript_id", "global_index", "sentence_no")
+    numbered = with_sentence(w).select("transcript_id", "global_index", "sentence_no", "word")
+    ends = numbered.groupBy("transcript_id", "sentence_no").agg(F.min("global_index").alias("first_gi"), F.max("global_index").alias("last_gi"))
+    at = numbered.select("transcript_id", "global_index", "sentence_no")
     lo = spans.select(key, "transcript_id", "lo", "hi")
-    a = gi.select("transcript_id", F.col("global_index").alias("lo"), F.col("sentence_no").alias("s_lo"))
-    b = gi.select("transcript_id", F.col("global_index").alias("hi"), F.col("sentence_no").alias("s_hi"))
-    ends = lo.join(a, ["transcript_id", "lo"]).join(b, ["transcript_id", "hi"])
-    each = ends.withColumn("sentence_no", F.explode(F.sequence("s_lo", "s_hi")))
-    touched = each.join(s, ["transcript_id", "sentence_no"]).groupBy(key, "lo", "hi").agg(
-        F.min("first_gi").alias("a"),
-        F.max("last_gi").alias("b"),
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("sentence_no", "words"))), lambda x: x["words"])).alias("ws"),
-    )
-    first = F.greatest(F.col("lo") - window, F.col("a"))
-    last = F.least(F.col("hi") + window, F.col("b"))
-    cut = F.slice("ws", (first - F.col("a") + 1).cast("int"), (last - first + 1).cast("int"))
-    return touched.select(key, F.array_join(F.when(F.size("ws") <= max_words, F.col("ws")).otherwise(cut), " ").alias("context"))
+    for place, bound, known in (("lo", "first_gi", "a"), ("hi", "last_gi", "b")):
+        lo = lo.join(at.withColumnRenamed("global_index", place), ["transcript_id", place]).join(ends.select("transcript_id", "sentence_no", F.col(bound).alias(known)), ["transcript_id", "sentence_no"]).drop("sentence_no")
+    known = lo
+    whole = F.col("b") - F.col("a") + 1 <= max_words
+    first = F.when(whole, F.col("a")).otherwise(F.greatest(F.col("lo") - window, F.col("a")))
+    last = F.when(whole, F.col("b")).otherwise(F.least(F.col("hi") + window, F.col("b")))
+    shown = known.select(key, "transcript_id", F.explode(F.sequence(first, last)).alias("global_index"))
+    met = shown.join(w.select("transcript_id", "global_index", "word"), ["transcript_id", "global_index"])
+    return met.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("global_index", "word"))), lambda x: x["word"]), " ").alias("context"))
 
 
 def name_like(w: DataFrame) -> DataFrame:
