@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from murmurlake.functions import text as T
 from murmurlake.operators.records import once
 from murmurlake.operators.scans import scan_before
+from murmurlake.session import materialise
 
 #: Cues of one transcript that are scanned together.
 CUE_BLOCK_BITS = 10
@@ -70,7 +71,8 @@ def contexts(w: DataFrame, spans: DataFrame, key: str, max_words: int = MAX_CONT
     Spans that touch no word have no row. Sentences are only known by their ends here, so one that runs
     over a whole transcript without punctuation is never gathered; the words shown are fetched by position.
     """
-    numbered = with_sentence(w).select("transcript_id", "global_index", "sentence_no", "word")
+    # read five times below
+    numbered = materialise(with_sentence(w).select("transcript_id", "global_index", "sentence_no", "word"))
     ends = numbered.groupBy("transcript_id", "sentence_no").agg(F.min("global_index").alias("first_gi"), F.max("global_index").alias("last_gi"))
     at = numbered.select("transcript_id", "global_index", "sentence_no")
     lo = spans.select(key, "transcript_id", "lo", "hi")
@@ -81,7 +83,7 @@ def contexts(w: DataFrame, spans: DataFrame, key: str, max_words: int = MAX_CONT
     first = F.when(whole, F.col("a")).otherwise(F.greatest(F.col("lo") - window, F.col("a")))
     last = F.when(whole, F.col("b")).otherwise(F.least(F.col("hi") + window, F.col("b")))
     shown = known.select(key, "transcript_id", F.explode(F.sequence(first, last)).alias("global_index"))
-    met = shown.join(w.select("transcript_id", "global_index", "word"), ["transcript_id", "global_index"])
+    met = shown.join(numbered.select("transcript_id", "global_index", "word"), ["transcript_id", "global_index"])
     return met.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("global_index", "word"))), lambda x: x["word"]), " ").alias("context"))
 
 
