@@ -211,6 +211,18 @@ ORACLES = {
         count_if(flag_id IN (SELECT flag_id FROM m JOIN cases USING (case_id) WHERE verdict = 'should-flag')) AS touching FROM f)
     SELECT CASE WHEN tp + fn = 0 THEN 1.0 ELSE tp / (tp + fn) END AS recall, CASE WHEN tn + fp = 0 THEN 1.0 ELSE tn / (tn + fp) END AS specificity,
       cold / flags AS cold_rate, touching / flags AS flag_precision, tp, fn, tn, fp, flags, cold, touching FROM cc, gg""",
+    "chunk_plan": q.WORDS_SQL.replace("WITH c AS", "WITH RECURSIVE c AS")
+    + """, f AS (SELECT DISTINCT ON (flag_id) flag_id, transcript_id, list_min(global_indices) AS lo, list_max(global_indices) AS hi FROM flags WHERE len(global_indices) > 0),
+    m AS (SELECT *, max(hi) OVER (PARTITION BY transcript_id ORDER BY lo, hi, flag_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM f),
+    h AS (SELECT * FROM m WHERE reach IS NULL OR lo > reach),
+    x AS (SELECT w.transcript_id, w.global_index AS gi, regexp_matches(w.word, '[.!?]$') AS closes,
+            EXISTS (SELECT 1 FROM h WHERE h.transcript_id = w.transcript_id AND h.lo <= w.global_index AND w.global_index < h.hi) AS held FROM w),
+    p AS (SELECT transcript_id, max(gi) AS top, list(gi ORDER BY gi) FILTER (NOT held) AS free, coalesce(list(gi ORDER BY gi) FILTER (closes AND NOT held), []) AS ends FROM x GROUP BY transcript_id),
+    r AS (SELECT transcript_id, -1 AS chunk_no, 0::BIGINT AS lo, -1::BIGINT AS hi FROM p
+      UNION ALL
+      SELECT r.transcript_id, chunk_no + 1, r.hi + 1, coalesce(least(list_min(list_filter(ends, lambda e: e >= r.hi + 400)), list_min(list_filter(free, lambda e: e >= r.hi + 800))), top)
+      FROM r JOIN p USING (transcript_id) WHERE r.hi < top)
+    SELECT transcript_id, chunk_no, lo, hi FROM r WHERE chunk_no >= 0""",
     "rolling_day": """WITH e AS (SELECT *, epoch_us(ts) AS at_us, floor(value * 100)::BIGINT AS cents FROM events)
       SELECT event_id, (sum(coalesce(cents, 0)) OVER (PARTITION BY user_id ORDER BY at_us RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW))::BIGINT AS used FROM e""",
     "next_returns": """WITH e AS (SELECT user_id, epoch_us(ts) AS at_us, floor(value * 100)::BIGINT AS cents FROM events),
