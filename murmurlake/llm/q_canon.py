@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmurlake.llm.canon import lookalike_pairs, records_of, with_canonical
+from murmurlake.llm.canon import HYPHENS, LOOKALIKES, lookalike_pairs, records_of, with_canonical
 from murmurlake.sources.tables import table
 
 
@@ -26,5 +26,29 @@ def p3_forms(spark: SparkSession, root: str) -> DataFrame:
     return with_canonical(_texts(spark, root), "text", "form").select(F.col("pair_of").alias("text_of"), "id", "form")
 
 
+def _form_sql(x: str) -> str:
+    """The canonical form in SQL, by tables alone: enough for texts whose look-alikes are not composed."""
+    wide = {chr(n): chr(n - 0xFEE0) for n in range(0xFF01, 0xFF5F)}
+    blanks = {c: " " for c in "\t\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"}
+    table_ = {**wide, **LOOKALIKES, **{h: "-" for h in HYPHENS}, **blanks}
+    for joined, apart in (("\ufb00", "ff"), ("\ufb01", "fi"), ("\ufb02", "fl"), ("\ufb03", "ffi"), ("\ufb04", "ffl")):
+        x = f"replace({x}, '{joined}', '{apart}')"
+    x = f"regexp_replace({x}, '[\\x{{AD}}\\x{{200B}}-\\x{{200F}}\\x{{2060}}-\\x{{2064}}\\x{{FEFF}}]', '', 'g')"
+    quoted = ["".join(side).replace("'", "''") for side in (table_.keys(), table_.values())]
+    return f"trim(nfc_normalize(translate({x}, '{quoted[0]}', '{quoted[1]}')), ' ' || chr(10))"
+
+
+_TEXTS_SQL = f"""
+WITH t AS (
+  SELECT 'cue' AS of, transcript_id, cue_id AS id, text FROM (SELECT DISTINCT ON (cue_id) * FROM cues)
+  UNION ALL SELECT 'flag', transcript_id, flag_id, span FROM (SELECT DISTINCT ON (flag_id) * FROM flags)),
+f AS (SELECT *, {_form_sql('text')} AS form FROM t)
+"""
 QUERIES = {"p3_found": p3_found, "p3_forms": p3_forms}
-ORACLES: dict = {}
+ORACLES = {
+    "p3_found": _TEXTS_SQL
+    + """SELECT a.of AS pair_of, a.id AS id_a, b.id AS id_b FROM f a
+    JOIN f b ON a.of = b.of AND a.transcript_id = b.transcript_id AND a.form = b.form AND a.id < b.id
+    WHERE a.text <> b.text AND a.text <> '' AND b.text <> ''""",
+    "p3_forms": _TEXTS_SQL + "SELECT of AS text_of, id, form FROM f",
+}
