@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmurlake.operators.scans import join_null_safe, scan_before
+from murmurlake.session import materialise
 
 SHARD_BITS = 28
 BLOCK_BITS = 10
@@ -84,6 +85,7 @@ def periods_and_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str, s
         F.element_at("runs", -1)["hi"].alias("__reach"),
         "shard",
     )
+    rows = materialise(rows)  # short, and read three times
     seen = scan_before(rows, k, "__block", ["shard", "__rank"], "__reach", "__before")
     clear = F.transform(
         "runs",
@@ -92,7 +94,7 @@ def periods_and_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str, s
             r["lo"].alias("gap_end"),
         ),
     )
-    gaps = seen.select(*k, "__block", F.inline(F.filter(clear, lambda g: g["gap_start"] < g["gap_end"])))
+    gaps = materialise(seen.select(*k, "__block", F.inline(F.filter(clear, lambda g: g["gap_start"] < g["gap_end"]))))
     gaps = scan_before(gaps, k, "__block", ["gap_start"], "gap_end", "__opened")
     ends = rows.groupBy(*k).agg(F.min("__first").alias("__lo"), F.max("__reach").alias("__hi"))
     last = gaps.groupBy(*k).agg(F.max("gap_end").alias("__last"))
