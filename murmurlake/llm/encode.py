@@ -127,6 +127,17 @@ def piece_encoder(vocabulary: str, leaf_chars: int) -> PieceEncoder:
     return _ENCODINGS[key]
 
 
+#: Texts that a worker holds as Python strings at a time.
+HELD_TEXTS = 512
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = HELD_TEXTS) -> Iterator[pa.RecordBatch]:
+    """Smaller batches without copying, so that long texts and their results do not pile up in a worker."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _lists(rows: list[list[int]]) -> pa.Array:
     import numpy as np
 
@@ -141,7 +152,7 @@ def _lists(rows: list[list[int]]) -> pa.Array:
 def _encode_whole(vocabulary: str, leaf: int, counts_only: bool, keys: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = piece_encoder(vocabulary, leaf)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [encoder.encode(t) if t else [] for t in batch.column("__text").to_pylist()]
             out = pa.array([len(x) for x in ids], type=pa.int64()) if counts_only else _lists(ids)
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], out], names=[*keys, "__out"])
@@ -177,7 +188,7 @@ def _cut(vocabulary: str, leaf: int, size: int, keys: list[str]):
 def _encode_parts(vocabulary: str, leaf: int, keys: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = piece_encoder(vocabulary, leaf)
-        for batch in batches:
+        for batch in slices(batches):
             bodies, inside, more = (batch.column(c).to_pylist() for c in ("body", "inside", "more"))
             # a part of a piece that was cut is bytes of that piece alone; any other is text
             ids = [encoder.tree(b) if i or m else encoder.encode(b.decode()) for b, i, m in zip(bodies, inside, more)]
