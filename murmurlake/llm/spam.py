@@ -97,15 +97,19 @@ def pairs_of(words: list[str]) -> list[tuple[str, str]]:
 
 
 def digest(text: str, counts: Counter) -> tuple[int, int, list[tuple[int, list[int]]]] | None:
-    """(characters, sure spam characters, keyword-line candidates) or None if half cannot be reached."""
-    total = sure = maybe = 0
+    """(characters, sure spam characters, keyword-line candidates) or None if half cannot be reached.
+
+    Every line is looked at, until the lines left over could not make up half even if all of them were spam.
+    """
+    stripped = [line for line in map(str.strip, text.splitlines()) if line]
+    total = left = sum(map(len, stripped))
+    sure = maybe = 0
     lines = []
-    for raw in text.splitlines():
-        line = raw.strip()
-        if not line:
-            continue
+    for line in stripped:
+        if sure + maybe + left <= HALF * total:
+            return None
         size = len(line)
-        total += size
+        left -= size
         kind, words = line_kind(line)
         if kind in ("link", "tag"):
             sure += size
@@ -117,20 +121,6 @@ def digest(text: str, counts: Counter) -> tuple[int, int, list[tuple[int, list[i
     return total, sure, [(size, [pair_hash(a, b) for a, b in pairs_of(w)]) for size, w in lines]
 
 
-def can_be_spam(text: str, counts: Counter) -> bool:
-    """A cheap bound before lines are looked at.
-
-    Lines that fill half of the page and have every second word repeated, or are links or marks, leave
-    traces far above these shares.
-    """
-    least = 0.1 * len(text)
-    if sum(len(w) * n for w, n in counts.items() if n >= REPEATED) >= least * 1.5:
-        return True
-    if ("://" in text or "www." in text) and sum(map(len, URL.findall(text))) >= least:
-        return True
-    return (text.count(">>") + text.count("#") + text.count("tag")) * 50 >= least * 10
-
-
 _PAGE = pa.schema(
     [
         ("is_page", pa.bool_()),
@@ -166,7 +156,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             distinct = set(zip(words, words[1:]))
             distinct.update((w, "") for w in counts if _IDEOGRAPH.match(w))
             curve = Counter(counts.values())
-            found = digest(text, counts) if can_be_spam(text, counts) else None
+            found = digest(text, counts)
             if found is None:
                 folded.update(distinct)
             chars, sure, lines = found or (None, None, None)

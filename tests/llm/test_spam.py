@@ -44,3 +44,15 @@ def test_lines():
     assert line_kind("if (a == b) {")[0] == "other"
     assert line_kind("# buy cheap zorvelik") == ("words", ["buy", "cheap", "zorvelik"])
     assert digest("", {}) is None
+
+
+def test_long_varied_product_and_tag_lines_are_spam(spark):
+    """No word occurs three times, no link, and one mark per long line: only the lines show what these are."""
+    words = iter(f"{a}{b}{c}en" for a in "bdfgk" for b in "aeiou" for c in "lmnrst")
+    some = lambda n: [next(words) for _ in range(n)]
+    product = "\n".join("{0}ium {1}ling {2}stone S/31 129.99 >> {3} {4} {5}ware <<".format(*some(6)) for _ in range(8))
+    tags = "\n".join("Tags: " + ", ".join(some(9)) for _ in range(8))
+    good, _ = pages()
+    rows = [(i, t, "text") for i, t in enumerate([*good, product, tags])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert sorted(r.doc_id for r in find_spam(df).collect()) == [len(good), len(good) + 1]
