@@ -19,6 +19,8 @@ from murmurlake.operators.scans import scan_before
 RELATED = 3
 BATCH = 25
 SURE_MARGIN = 0.15
+#: The time of a flag that has none.
+NO_TIME = "--:--:--,---"
 
 
 def around(flags: DataFrame, cues: DataFrame) -> DataFrame:
@@ -67,22 +69,30 @@ def is_sure(flags: DataFrame, margin: float = SURE_MARGIN) -> DataFrame:
 
 
 def report_lines(flags: DataFrame) -> DataFrame:
-    """One line a flag for readers: the span marked in its context, the best candidate and how many more."""
+    """One line a flag for readers: the span marked in its context, the best candidate and how many more.
+
+    Every flag has a line: without a start the time is ``NO_TIME``, without a span the context is shown
+    unmarked, without a context the marked span alone.
+    """
     first = F.get("candidates", F.lit(0))
-    at = F.instr("context", F.col("span"))
-    marked = F.when(at > 0, F.concat(F.substring("context", F.lit(1), at - 1), F.lit("»"), F.col("span"), F.lit("«"), F.substring(F.col("context"), at + F.length("span"), F.length("context")))).otherwise(F.col("context"))
+    span = F.coalesce("span", F.lit(""))
+    context = F.coalesce(F.col("context"), span)
+    at = F.when(span != "", F.instr(context, span)).otherwise(0)
+    marked = F.when(at > 0, F.concat(F.substring(context, F.lit(1), at - 1), F.lit("»"), span, F.lit("«"), F.substring(context, at + F.length(span), F.length(context)))).otherwise(context)
     more = F.when(F.size("candidates") > 1, F.format_string(" (+%d more)", F.size("candidates") - 1)).otherwise("")
     offer = F.when(F.size("candidates") > 0, F.concat(F.lit(" -> "), first, more)).otherwise("")
-    return flags.select("flag_id", F.concat(F.lit("["), T.caption_time(F.col("start_us")), F.lit("] "), marked, offer).alias("line"))
+    start = F.when(F.col("start_us").isNotNull(), T.caption_time(F.col("start_us"))).otherwise(NO_TIME)
+    return flags.select("flag_id", F.concat(F.lit("["), start, F.lit("] "), marked, offer).alias("line"))
 
 
 def markdown_rows(flags: DataFrame) -> DataFrame:
-    """Rows of a six-column table for a reviewer, the last column left blank."""
+    """Rows of a six-column table for a reviewer, the last column left blank; what is null is left blank too."""
 
     def cell(c: Column) -> Column:
         return F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
 
-    cells = [cell(F.col("span")), cell(F.get("candidates", F.lit(0))), cell(F.format_string("%.2f", "confidence")), cell(F.col("detector")), cell(F.col("context")), F.lit("")]
+    confidence = F.when(F.col("confidence").isNotNull(), F.format_string("%.2f", "confidence"))
+    cells = [cell(F.col("span")), cell(F.get("candidates", F.lit(0))), cell(confidence), cell(F.col("detector")), cell(F.col("context")), F.lit("")]
     return flags.select("flag_id", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("row"))
 
 

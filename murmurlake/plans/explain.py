@@ -37,12 +37,13 @@ def sure_flags(spark: SparkSession, root: str) -> DataFrame:
 
 
 def report_lines(spark: SparkSession, root: str) -> DataFrame:
+    # the rows that its SQL defines; the operator has a line for every flag
     f = _flags(spark, root).filter("context IS NOT NULL AND span IS NOT NULL AND span <> '' AND start_us IS NOT NULL")
     return X.report_lines(f)
 
 
 def markdown_rows(spark: SparkSession, root: str) -> DataFrame:
-    return X.markdown_rows(_flags(spark, root).filter("confidence IS NOT NULL"))
+    return X.markdown_rows(_flags(spark, root))
 
 
 def request_estimates(spark: SparkSession, root: str) -> DataFrame:

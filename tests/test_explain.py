@@ -20,6 +20,21 @@ def test_report_and_table(spark):
     assert X.markdown_rows(df).first().row == "| a\\|b | x | 0.50 | oov | see a\\|b now a\\|b |  |"
 
 
+def test_every_flag_has_a_line_and_a_row(spark):
+    rows = [(1, "t", "b", "oov", [], None, None, None), (2, "t", None, "oov", ["x"], 0.5, "a b", 0), (3, "t", "", "oov", None, 0.5, "a b", 0), (4, "t", None, None, [], None, None, None)]
+    df = spark.createDataFrame(rows, FLAG)
+    assert {r.flag_id: r.line for r in X.report_lines(df).collect()} == {1: "[--:--:--,---] »b«", 2: "[00:00:00,000] a b -> x", 3: "[00:00:00,000] a b", 4: "[--:--:--,---] "}
+    assert {r.flag_id: r.row for r in X.markdown_rows(df).collect()} == {1: "| b |  |  | oov |  |  |", 2: "|  | x | 0.50 | oov | a b |  |", 3: "|  |  | 0.50 | oov | a b |  |", 4: "|  |  |  |  |  |  |"}
+
+
+def test_table_has_a_row_for_every_flag(spark, tmp_path):
+    from murmurlake.plans.explain import markdown_rows
+
+    rows = [(1, "t", "b", "oov", [], None, "a b", 0), (2, "t", "b", "oov", [], 0.5, "a b", 0)]
+    spark.createDataFrame(rows, FLAG).write.parquet(f"{tmp_path}/flags.parquet")
+    assert sorted(r.flag_id for r in markdown_rows(spark, str(tmp_path)).collect()) == [1, 2]
+
+
 def test_spend_is_unknown_once_a_cost_is(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", None), ("b", 2.0), ("b", 0.5)], "k string, cost_usd double")
     assert {r.k: (r.calls, r.total) for r in X.spend(df, ["k"]).collect()} == {"a": (2, None), "b": (2, 2.5)}
