@@ -31,7 +31,8 @@ def plan_budgets(spark: SparkSession, root: str, sizes: DataFrame) -> list[tuple
     """(source, lang, tokens held, budget, whole epochs, tokens of the partial epoch) of every leaf.
 
     The tree is source, then language within the source: a source has its target share, its languages
-    have shares by the tokens they hold.
+    have shares by the tokens they hold. As their capacities are in the same proportion, they fill up
+    together: shortages move between sources only, never between languages of one.
     """
     targets = _targets(spark, root).limit(MAX_LEAVES + 1).collect()
     held = sizes.groupBy(*LEAF).agg(F.sum("tokens").alias("tokens")).limit(MAX_LEAVES + 1).collect()
