@@ -2,8 +2,9 @@
 
 Recordings with a roster teach them: their labels say where the speaker changes. A bounded sample of such
 pairs (``SAMPLE`` rows, the first by a seeded hash) fits gradient-boosted depth-two trees with logistic
-loss; the trees become one column expression, so every pair of cues is decided in the JVM. Recordings
-without labels get their turns from these decisions.
+loss; the trees become one column expression, so every pair of cues is decided in the JVM. The decisions
+are given per cue and stop there: no turns are built from them, their features count raw words (hesitations,
+sounds and time stamps included), and tokens of calls get none.
 """
 
 from __future__ import annotations
