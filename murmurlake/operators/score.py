@@ -11,20 +11,40 @@ from murmurlake.functions import text as T
 def locate(phrases: DataFrame, words: DataFrame) -> DataFrame:
     """Every occurrence of a phrase in its transcript: all columns of ``phrases`` with lo and hi.
 
-    ``phrases`` has transcript_id and phrase; texts are compared by their clean words. A phrase meets the
-    places of its first word by equi-join, then each following word by position, one step per word of the
-    longest phrase; nothing is compared all against all.
+    ``phrases`` has transcript_id and phrase; texts are compared by their clean words. With a column
+    ``context``, a phrase that has one is found only within it: its first place in each occurrence of the
+    context. What is looked for meets the places of its first word by equi-join, then each following word
+    by position, one step per word of the longest text; nothing is compared all against all.
     """
-    cut = F.transform(F.split(F.btrim("phrase", F.lit(" \t\n")), r"\s+"), T.clean)
-    rows = phrases.withColumn("__ws", F.filter(cut, lambda w: w != "")).filter(F.size("__ws") > 0)
-    w = words.filter(F.col("cleaned") != "").select("transcript_id", "global_index", "cleaned")
+    cut = lambda c: F.transform(F.split(F.btrim(c, F.lit(" \t\n")), r"\s+"), T.clean)
+    rows = phrases.withColumn("__ws", F.filter(cut("phrase"), lambda w: w != "")).filter(F.size("__ws") > 0)
+    w = words.select("transcript_id", "global_index", F.coalesce("cleaned", F.lit("")).alias("cleaned"))
+    if "context" in phrases.columns:
+        # within a context marks that stand alone keep their places, as in the transcript
+        bound = F.col("context").isNotNull()
+        rows = rows.withColumns({"__ws": F.when(bound, cut("phrase")).otherwise(F.col("__ws")), "__in": F.when(bound, cut("context")).otherwise(F.col("__ws"))})
+        n = F.size("__ws")
+        fits = F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("__in") - n)), lambda i: F.slice("__in", i + 1, n) == F.col("__ws"))
+        rows = rows.withColumn("__at", F.get(fits, F.lit(0))).filter(F.col("__at").isNotNull())
+    else:
+        w = w.filter(F.col("cleaned") != "")
+        rows = rows.withColumns({"__in": F.col("__ws"), "__at": F.lit(0)})
     firsts = w.select("transcript_id", F.col("global_index").alias("lo"), F.col("cleaned").alias("__first"))
-    starts = rows.withColumn("__first", F.col("__ws")[0]).join(firsts, ["transcript_id", "__first"])
+    starts = rows.withColumn("__first", F.col("__in")[0]).join(firsts, ["transcript_id", "__first"])
     # the words at lo, lo + 1, ... that agree are counted; all must
     needed = starts.withColumn("__id", F.monotonically_increasing_id())
-    each = needed.select("__id", "transcript_id", "lo", F.posexplode("__ws").alias("p", "cleaned")).withColumn("global_index", F.col("lo") + F.col("p"))
+    each = needed.select("__id", "transcript_id", "lo", F.posexplode("__in").alias("p", "cleaned")).withColumn("global_index", F.col("lo") + F.col("p"))
     agree = each.join(w, ["transcript_id", "global_index", "cleaned"], "left_semi").groupBy("transcript_id", "__id").agg(F.count("*").alias("__n"))
-    return needed.join(agree.drop("transcript_id"), "__id").filter(F.col("__n") == F.size("__ws")).withColumn("hi", F.col("lo") + F.size("__ws") - 1).drop("__id", "__n", "__ws", "__first")
+    found = needed.join(agree.drop("transcript_id"), "__id").filter(F.col("__n") == F.size("__in")).withColumn("lo", F.col("lo") + F.col("__at"))
+    return found.withColumn("hi", F.col("lo") + F.size("__ws") - 1).drop("__id", "__n", "__ws", "__in", "__at", "__first")
+
+
+def require_found(cases: DataFrame, occurrences: DataFrame, name: int = 5) -> None:
+    """Raise ``ValueError`` if a case has no occurrence; the first ``name`` such cases are named."""
+    lost = cases.select("case_id").join(occurrences.select("case_id"), "case_id", "left_anti").distinct()
+    first = [r["case_id"] for r in lost.orderBy("case_id").limit(name).collect()]
+    if first:
+        raise ValueError(f"cases not found in their transcripts, the first of them: {first}")
 
 
 def case_hits(cases: DataFrame, occurrences: DataFrame, flags: DataFrame) -> DataFrame:
@@ -47,11 +67,14 @@ def report(hits: DataFrame, flags: DataFrame, errors: DataFrame, match_candidate
 
     No cases of a class count as 1.0, no flags as a cold rate of 0.0 and a flag precision of null. A flag
     is cold if its detectors include 'oov' and it has no candidates. ``errors`` are the words (transcript_id,
-    gi) of should-flag cases, for the precision of single flags.
+    gi) of should-flag cases, for the precision of single flags. With a column ``entity`` in ``hits``, the
+    should-flag cases of entities are tallied too: entity_caught of entity_cases, null if there are none.
     """
     hit = F.col("proposed") if match_candidates else F.col("touched")
     should, shouldnt = F.col("verdict") == "should-flag", F.col("verdict") == "should-not-flag"
-    per_case = hits.agg(F.count_if(should & hit).alias("tp"), F.count_if(should & ~hit).alias("fn"), F.count_if(shouldnt & ~F.col("touched")).alias("tn"), F.count_if(shouldnt & F.col("touched")).alias("fp"))
+    entity = should & F.col("entity") if "entity" in hits.columns else None
+    tally = {} if entity is None else {"entity_caught": F.count_if(entity & hit), "entity_cases": F.count_if(entity)}
+    per_case = hits.agg(F.count_if(should & hit).alias("tp"), F.count_if(should & ~hit).alias("fn"), F.count_if(shouldnt & ~F.col("touched")).alias("tn"), F.count_if(shouldnt & F.col("touched")).alias("fp"), *[c.alias(n) for n, c in tally.items()])
     cold = F.array_contains(F.split("detector", r"\+"), "oov") & (F.size("candidates") == 0)
     wrong = flags.select("flag_id", "transcript_id", F.explode(F.sequence("lo", "hi")).alias("gi")).join(errors.distinct(), ["transcript_id", "gi"], "left_semi").select("flag_id").distinct()
     per_flag = flags.join(wrong.withColumn("wrong", F.lit(True)), "flag_id", "left").agg(F.count("*").alias("flags"), F.count_if(cold).alias("cold"), F.count_if(F.col("wrong").isNotNull()).alias("touching"))
@@ -64,6 +87,7 @@ def report(hits: DataFrame, flags: DataFrame, errors: DataFrame, match_candidate
     return both.select(
         share("tp", "fn").alias("recall"), share("tn", "fp").alias("specificity"), F.coalesce(F.try_divide("cold", "flags"), F.lit(0.0)).alias("cold_rate"),
         F.try_divide("touching", "flags").alias("flag_precision"), "tp", "fn", "tn", "fp", "flags", "cold", "touching",
+        *[F.when(F.col("entity_cases") > 0, F.col(n)).alias(n) for n in tally],
     )
 
 

@@ -178,6 +178,32 @@ def test_scores(spark):
     assert (r.tp, r.fn, r.tn, r.fp, r.flags, r.cold, r.touching) == (1, 1, 0, 1, 2, 1, 1)
 
 
+def test_cases_are_found_within_their_context(spark):
+    text = "cough ka we run cough — ka now cough ka and cough ka again cough ka and cough ka".split()
+    words = spark.createDataFrame([("t", i, "" if w == "—" else w) for i, w in enumerate(text)], "transcript_id string, global_index bigint, cleaned string")
+    rows = [("all", "cough ka", None), ("first", "cough ka", "cough ka and cough ka"), ("marked", "ka", "Cough — ka now"), ("outside", "run", "cough ka and"), ("nowhere", "cough ka", "cough ka or"), ("other", "zorvex", None)]
+    cases = spark.createDataFrame([(c, "t", p, x) for c, p, x in rows], "case_id string, transcript_id string, phrase string, context string")
+    occ = S.locate(cases, words)
+    assert occ.columns == ["transcript_id", "case_id", "phrase", "context", "lo", "hi"]
+    got = sorted((r.case_id, r.lo, r.hi) for r in occ.collect())
+    assert got == [("all", 0, 1), *[("all", i, i + 1) for i in (8, 11, 14, 17)], ("first", 8, 9), ("first", 14, 15), ("marked", 6, 6)]
+    S.require_found(cases.filter("case_id IN ('all', 'first', 'marked')"), occ)
+    with pytest.raises(ValueError, match="nowhere.*other.*outside"):
+        S.require_found(cases, occ)
+
+
+def test_entities_are_tallied(spark):
+    hits = [("should-flag", True, True, True), ("should-flag", True, False, True), ("should-flag", False, False, True), ("should-flag", True, True, False), ("should-not-flag", True, True, True)]
+    hits = spark.createDataFrame(hits, "verdict string, touched boolean, proposed boolean, entity boolean")
+    flags = spark.createDataFrame([], "flag_id bigint, transcript_id string, lo bigint, hi bigint, detector string, candidates array<string>")
+    err = spark.createDataFrame([], "transcript_id string, gi bigint")
+    for match, caught in ((False, 2), (True, 1)):
+        r = S.report(hits, flags, err, match_candidates=match).first()
+        assert (r.entity_caught, r.entity_cases) == (caught, 3)
+    r = S.report(hits.filter("NOT entity"), flags, err).first()
+    assert (r.entity_caught, r.entity_cases) == (None, None)
+
+
 def test_waits(spark):
     day, h = 86_400_000_000, 3_600_000_000
     df = spark.createDataFrame([("s", 0, 6000), ("s", 2 * h, 4000), ("s", -day, 999)], "k string, at bigint, v bigint")
