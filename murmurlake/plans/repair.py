@@ -20,6 +20,8 @@ from murmurlake.sources.tables import table
 DAY_US = 86_400_000_000
 #: Fixed "now" of the queries that need one.
 AS_OF = "2024-12-01 00:00:00"
+#: The most hesitation forms that are taken into the plan.
+MAX_FORMS = 1000
 
 
 def _words(spark: SparkSession, root: str) -> DataFrame:
@@ -74,12 +76,18 @@ def _tokens(spark: SparkSession, root: str) -> DataFrame:
     return once(table(spark, root, "nlp_tokens"), "token_id")
 
 
+def _forms(spark: SparkSession, root: str) -> list[str]:
+    rows = table(spark, root, "fillers").select("form").filter(F.col("form").isNotNull()).distinct().limit(MAX_FORMS + 1).collect()
+    if len(rows) > MAX_FORMS:
+        raise ValueError(f"more than {MAX_FORMS} hesitation forms")
+    return sorted(r["form"] for r in rows)
+
+
 def aligned_regions(spark: SparkSession, root: str) -> DataFrame:
     """Where hypothesis and reference of a call differ, and what kind of difference it is."""
     t = _tokens(spark, root)
     known = O.frequencies(O.with_clean(O.words(table(spark, root, "cues"))))
-    forms = F.array(*[F.lit(r["form"]) for r in table(spark, root, "fillers").limit(1000).collect()])
-    return A.classified(A.align_calls(t), forms, known)
+    return A.classified(A.align_calls(t), F.array(*map(F.lit, _forms(spark, root))), known)
 
 
 def region_kinds(spark: SparkSession, root: str) -> DataFrame:

@@ -159,6 +159,19 @@ def test_cues_from_timed_tokens():
     assert A.unique_context(list("abcab"), 0, 1) == (0, 3)
 
 
+def test_no_hesitation_form_is_dropped_silently(spark, tmp_path):
+    from murmurlake.plans import repair as R
+    from tests.conftest import DATA
+
+    for name in ("nlp_tokens", "cues"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{DATA}/{name}.parquet")
+    spark.range(R.MAX_FORMS).selectExpr("'f' || id AS form").write.parquet(f"{tmp_path}/fillers.parquet")
+    assert len(R._forms(spark, str(tmp_path))) == R.MAX_FORMS
+    spark.sql("SELECT 'one more' AS form").write.mode("append").parquet(f"{tmp_path}/fillers.parquet")
+    with pytest.raises(ValueError, match="hesitation forms"):
+        R.aligned_regions(spark, str(tmp_path))
+
+
 def test_scores_have_defaults(spark):
     cases = spark.createDataFrame([], "case_id string, transcript_id string, verdict string, candidate string, kind string")
     occ = spark.createDataFrame([], "case_id string, transcript_id string, lo bigint, hi bigint")
