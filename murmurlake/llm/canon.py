@@ -6,7 +6,8 @@ of single blanks, characters without width, and blanks at the ends. Case, missin
 the shape of quotes and line breaks are visible and stay.
 
 Most texts need no work: a scan in the JVM finds the ones with any character that could be unstable, and
-only those reach Python. There the stable stretches are kept as they are; each unstable segment, with the
+only those reach Python. The test is coarse, no normalization quick check: all but visible ASCII, blanks and
+line feeds counts as unstable. The other stretches are kept as they are; each unstable segment, with the
 one character before it as its boundary context (a base letter that an accent may join), is normalised
 and spliced back. Segments repeat endlessly, so their forms are remembered per worker up to a bound.
 """
@@ -89,7 +90,6 @@ def _remembered(m: re.Match) -> str:
     if form is None:
         if len(_FORMS) >= REMEMBERED:
             _FORMS.clear()
-        # a quick check first: segments of composed letters that are their own form
         form = _segment(seg)
         if len(seg) <= 64:
             _FORMS[seg] = form
