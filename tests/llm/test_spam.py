@@ -1,6 +1,6 @@
 import random
 
-from murmurlake.llm.spam import curves, digest, find_spam, line_kind, scan_pages
+from murmurlake.llm.spam import curves, digest, find_spam, line_kind, scan_pages, scored
 
 PROSE = ["The {a} must not be {b} here", "Keeps the {a} until it is {b}", "See the {b} {a} for details", "Returns the {a}, or nothing when it is {b}"]
 NOUNS, ADJ = [f"n{c}un" for c in "abcdefghij"], ["old", "thin", "green", "warm", "late"]
@@ -32,7 +32,7 @@ def test_spam_is_found_and_only_spam(spark):
 
 def test_curve_of_a_known_page(spark):
     df = spark.createDataFrame([(1, "a a a a b b c c"), (2, "x y z")], "doc_id bigint, text string").selectExpr("*", "'t' AS lang")
-    got = {r.doc_id: r for r in curves(scan_pages(df, "doc_id", "text", "lang").filter("is_page")).collect()}
+    got = {r.doc_id: r for r in curves(scan_pages(df, "doc_id", "text", "lang")).collect()}
     assert got[2].slope == 0.0 and got[2].residual == 0.0
     assert abs(got[1].slope + 0.756) < 0.01  # ln 4, ln 2, ln 2 over ln 1, ln 2.5, ln 2.5
 
@@ -43,7 +43,7 @@ def test_lines():
     assert line_kind("x >> y <<")[0] == "tag"
     assert line_kind("if (a == b) {")[0] == "other"
     assert line_kind("# buy cheap zorvelik") == ("words", ["buy", "cheap", "zorvelik"])
-    assert digest("", {}) is None
+    assert digest("", set()) is None
 
 
 def test_long_varied_product_and_tag_lines_are_spam(spark):
@@ -56,3 +56,31 @@ def test_long_varied_product_and_tag_lines_are_spam(spark):
     rows = [(i, t, "text") for i, t in enumerate([*good, product, tags])]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     assert sorted(r.doc_id for r in find_spam(df).collect()) == [len(good), len(good) + 1]
+
+
+def test_single_lines_of_tags_and_short_keywords_are_spam(spark):
+    """Pages that a look at counts of words, links and marks alone would pass by."""
+    names = [f"{a}{b}{c}" for a in "bdfgklmnprstvz" for b in "aeiou" for c in "lmnrst"]
+    one = "Tags: " + ", ".join(names[:80])
+    four = "\n".join("Tags: " + ", ".join(names[i : i + 20]) for i in range(80, 160, 20))
+    short = "\n".join(" ".join(f"{a} {b} zu" for a, b in zip(names[i : i + 4], names[i + 1 : i + 5])) for i in range(160, 180)) + "\n" + "\n".join(" ".join(names[160 + (i * 7 + j * 3) % 12] for j in range(9)) for i in range(40))
+    good, bad = pages()
+    rows = [(i, t, "text") for i, t in enumerate([*good, *bad, one, four, short])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert sorted(r.doc_id for r in find_spam(df).collect()) == list(range(len(good), len(good) + len(bad) + 3))
+
+
+def test_a_page_copied_all_over_stays_spam(spark):
+    """A third of all rows are copies of one spam page; they vouch for nothing."""
+    good, bad = pages()
+    rows = [(i, t, "text") for i, t in enumerate(good + [bad[0]] * (len(good) // 2))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert sorted(r.doc_id for r in find_spam(df).collect()) == list(range(len(good), len(rows)))
+
+
+def test_score_alone_finds_all_spam_and_less_than_half_of_the_rest(spark):
+    from murmurlake.sources.tables import table
+
+    got = scored(scan_pages(table(spark, "/root/testdata/sf0.01", "documents"), "doc_id", "text", "lang")).select("is_extreme", "share").toPandas()
+    spam = got["share"].fillna(0) > 0.5
+    assert got["is_extreme"][spam].all() and got["is_extreme"][~spam].mean() < 0.5
