@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from murmurlake.functions import phonetic as P
 from murmurlake.functions import text as T
-from murmurlake.operators.align import unique_context
+from murmurlake.operators.align import shortest_unique, unique_lengths
 from murmurlake.operators.records import once
 from murmurlake.operators.scans import scan_before
 
@@ -128,7 +128,7 @@ def seeded_split(ids: DataFrame, key: str, first: int, sample: int, seed: int) -
     return ids.sparkSession.createDataFrame(parts, f"{key} string, part string")
 
 
-CASES = "call_id string, region_no int, span string, candidate string, context string, kind string"
+CASES = "call_id string, region_no int, span string, candidate string, context string, kind string, entity boolean"
 
 
 def cases_from_regions(regions: DataFrame, tokens: DataFrame, keep: Sequence[str] = ("format", "function-word", "non-word", "real-word")) -> DataFrame:
@@ -139,17 +139,18 @@ def cases_from_regions(regions: DataFrame, tokens: DataFrame, keep: Sequence[str
     rows = tokens.filter(F.col("token").isNotNull() & ~F.col("token").rlike(r"^(<[^>]*>|\*+)?$"))
     entry = F.struct("pos", F.concat("token", F.coalesce("punctuation", F.lit(""))).alias("text"), T.clean(F.col("token")).alias("cleaned"), "token")
     sides = rows.groupBy("call_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("side") == s, entry))).alias(s) for s in ("hypothesis", "reference")])
-    wanted = regions.filter(F.col("kind").isin(*keep)).groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct("region_no", "h_from", "h_to", "r_from", "r_to", "kind"))).alias("rs"))
+    wanted = regions.filter(F.col("kind").isin(*keep)).groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct("region_no", "h_from", "h_to", "r_from", "r_to", "kind", "entity"))).alias("rs"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             out = []
             for r in pdf.itertuples():
                 texts, cleaned, ref = [t["text"] for t in r.hypothesis], [t["cleaned"] for t in r.hypothesis], [t["token"] for t in r.reference]
+                lengths = unique_lengths(cleaned)
                 for g in r.rs:
-                    lo, hi = unique_context(cleaned, g["h_from"], g["h_to"])
+                    lo, hi = shortest_unique(lengths, cleaned, g["h_from"], g["h_to"])
                     candidate = " ".join(ref[g["r_from"] : g["r_to"]]) if g["r_to"] > g["r_from"] else None
-                    out.append((r.call_id, g["region_no"], " ".join(texts[g["h_from"] : g["h_to"]]), candidate, " ".join(texts[lo:hi]), g["kind"]))
+                    out.append((r.call_id, g["region_no"], " ".join(texts[g["h_from"] : g["h_to"]]), candidate, " ".join(texts[lo:hi]), g["kind"], g["entity"]))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in CASES.split(", ")])
 
     return sides.join(wanted, "call_id").mapInPandas(run, CASES)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmurlake.functions import text as T
+from murmurlake.session import materialise
 
 
 def locate(phrases: DataFrame, words: DataFrame) -> DataFrame:
@@ -32,7 +33,8 @@ def locate(phrases: DataFrame, words: DataFrame) -> DataFrame:
     firsts = w.select("transcript_id", F.col("global_index").alias("lo"), F.col("cleaned").alias("__first"))
     starts = rows.withColumn("__first", F.col("__in")[0]).join(firsts, ["transcript_id", "__first"])
     # the words at lo, lo + 1, ... that agree are counted; all must
-    needed = starts.withColumn("__id", F.monotonically_increasing_id())
+    # written, so that both uses see the same numbers
+    needed = materialise(starts.withColumn("__id", F.monotonically_increasing_id()))
     each = needed.select("__id", "transcript_id", "lo", F.posexplode("__in").alias("p", "cleaned")).withColumn("global_index", F.col("lo") + F.col("p"))
     agree = each.join(w, ["transcript_id", "global_index", "cleaned"], "left_semi").groupBy("transcript_id", "__id").agg(F.count("*").alias("__n"))
     found = needed.join(agree.drop("transcript_id"), "__id").filter(F.col("__n") == F.size("__in")).withColumn("lo", F.col("lo") + F.col("__at"))

@@ -9,6 +9,7 @@ from murmurlake.operators import align as A
 from murmurlake.operators import chunks as C
 from murmurlake.operators import score as S
 from murmurlake.operators import tokens as O
+from murmurlake.operators import verdicts as V
 from murmurlake.operators import windows as W
 from murmurlake.operators.detect import islands
 from murmurlake.operators.records import once
@@ -20,8 +21,6 @@ from murmurlake.sources.tables import table
 DAY_US = 86_400_000_000
 #: Fixed "now" of the queries that need one.
 AS_OF = "2024-12-01 00:00:00"
-#: The most hesitation forms that are taken into the plan.
-MAX_FORMS = 1000
 
 
 def _words(spark: SparkSession, root: str) -> DataFrame:
@@ -69,25 +68,18 @@ def stub_verdicts(spark: SparkSession, root: str) -> DataFrame:
     """Chunks judged by the stub, one verdict for each word."""
     w, h = _words(spark, root), _hints(spark, root)
     requests = materialise(C.chunk_requests(w, C.plan_chunks(w, h), h))
-    return C.resolve_verdicts(C.judge_chunks(requests), requests).select("transcript_id", "start", "end", "replacement", "confidence", "judged")
+    return V.resolve_verdicts(V.judge_chunks(requests).verdicts, requests).select("transcript_id", "start", "end", "replacement", "confidence", "judged")
 
 
 def _tokens(spark: SparkSession, root: str) -> DataFrame:
     return once(table(spark, root, "nlp_tokens"), "token_id")
 
 
-def _forms(spark: SparkSession, root: str) -> list[str]:
-    rows = table(spark, root, "fillers").select("form").filter(F.col("form").isNotNull()).distinct().limit(MAX_FORMS + 1).collect()
-    if len(rows) > MAX_FORMS:
-        raise ValueError(f"more than {MAX_FORMS} hesitation forms")
-    return sorted(r["form"] for r in rows)
-
-
 def aligned_regions(spark: SparkSession, root: str) -> DataFrame:
     """Where hypothesis and reference of a call differ, and what kind of difference it is."""
     t = _tokens(spark, root)
     known = O.frequencies(O.with_clean(O.words(table(spark, root, "cues"))))
-    return A.classified(A.align_calls(t), F.array(*map(F.lit, _forms(spark, root))), known)
+    return A.classified(A.align_calls(t), table(spark, root, "fillers").filter("form IS NOT NULL"), known)
 
 
 def region_kinds(spark: SparkSession, root: str) -> DataFrame:

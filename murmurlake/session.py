@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,17 +29,19 @@ def local_session(app: str = "murmurlake", cores: str = "*", memory: str = "8g",
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share.
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session, or a checkpoint folder set on it.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, notebooks on one
-    machine) a local folder takes its place.
+    Only where neither is set and the master is local (tests, notebooks) a local folder takes its place. On a
+    cluster that is an error, as a folder of one machine would lose tables.
     """
-    path = spark.conf.get(CHECKPOINT_KEY, None)
+    sc = spark.sparkContext
+    path = spark.conf.get(CHECKPOINT_KEY, None) or sc.getCheckpointDir()
     if not path:
-        path = os.path.join(tempfile.gettempdir(), "murmurlake-checkpoint")
-        spark.conf.set(CHECKPOINT_KEY, path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
+        if not sc.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
+        path = os.path.join(tempfile.gettempdir(), f"murmurlake-{os.getpid()}")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(path)
     return path
 
 
@@ -54,8 +58,9 @@ def scratch_table(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to a table in the shared folder and read it back.
 
-    This cuts lineage, survives lost executors, and, other than a checkpoint, keeps columns apart and lets
-    the optimiser know the size, so small tables are broadcast only if they are small.
+    Runs a job when it is called, not when the result is used. This cuts lineage, survives lost executors,
+    and, other than a checkpoint, keeps columns apart and lets the optimiser know the size, so small tables
+    are broadcast only if they are small.
     """
     spark = df.sparkSession
     path = scratch_table(spark, "table")
@@ -63,10 +68,25 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables written to the shared folder within the block when it is left; results that read
+    them must be written or collected by then."""
+    mark = len(_SCRATCH)
+    try:
+        yield
+    finally:
+        _drop(spark, mark)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete the tables that this process wrote to the shared folder; what reads them must be over."""
+    _drop(spark, 0)
+
+
+def _drop(spark: SparkSession, mark: int) -> None:
     jvm = spark.sparkContext._jvm
-    while _SCRATCH:
+    while len(_SCRATCH) > mark:
         path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -54,9 +54,9 @@ def test_related_words_and_cases(spark):
     assert X.related(flags, words).first().related == ["kafka"]
     tokens = [("c", "hypothesis", i, w, "") for i, w in enumerate("we run cough ka now and cough ka".split())] + [("c", "reference", i, w, "") for i, w in enumerate("we run Kafka now and cough ka".split())]
     t = spark.createDataFrame(tokens, "call_id string, side string, pos int, token string, punctuation string")
-    regions = spark.createDataFrame([("c", 0, 2, 4, 2, 3, "real-word"), ("c", 1, 0, 1, 0, 1, "drift")], "call_id string, region_no int, h_from int, h_to int, r_from int, r_to int, kind string")
+    regions = spark.createDataFrame([("c", 0, 2, 4, 2, 3, "real-word", True), ("c", 1, 0, 1, 0, 1, "drift", False)], "call_id string, region_no int, h_from int, h_to int, r_from int, r_to int, kind string, entity boolean")
     got = [tuple(r) for r in X.cases_from_regions(regions, t).collect()]
-    assert got == [("c", 0, "cough ka", "Kafka", "cough ka now", "real-word")]
+    assert got == [("c", 0, "cough ka", "Kafka", "cough ka now", "real-word", True)]
 
 
 def test_clusters_are_chains_and_suspects_are_doubted(spark):

@@ -1,9 +1,7 @@
-import json
 import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from murmurlake.operators import align as A
 from murmurlake.operators import chunks as C
@@ -107,69 +105,93 @@ def test_chunk_ends_equal_a_plain_walk(seed):
     assert C.chunk_ends(n, np.array(close), np.array([h for h in hints if h[1] < n]), size) == want
 
 
-WORDS = [(10, "the"), (11, "cough"), (12, "ka"), (13, "raft."), (14, "cough")]
-HINTS = [{"id": "h1", "start": 11, "end": 12, "span": "cough ka", "candidates": ["Kafka"]}]
-
-
-def test_replies():
-    ok = C.read_reply("```json\n" + json.dumps([[11, 12, "cough ka", "Kafka", "misheard", 2, "h1", "r"]]) + "\n```", WORDS, HINTS)
-    assert ok[0]["replacement"] == "Kafka" and ok[0]["confidence"] == 1.0
-    moved = C.read_reply(json.dumps({"hints": {"h1": [1, 2, "", None, "misheard", 0.5, ""]}, "errors": [[99, 99, "raft", "graph", "misheard", 0.95, ""], [13, 13, "raft.", "Raft", "misheard", 1, ""], [13, 13, "raft", "x", "grammar", 1, ""], [1, 2, "nowhere", "x", "misheard", 1, ""]]}), WORDS, HINTS)
-    assert [(v["start"], v["end"], v["replacement"], v["hint"]) for v in moved] == [(11, 12, None, "h1"), (13, 13, "graph", None)]
-    assert C.read_reply(json.dumps([[11, 12, "", "coughka", "misheard", 0.9, "h1", ""]]), WORDS, HINTS)[0]["replacement"] == "coughka"
-    for bad in ("nope", "{}", "[]", '{"hints": [], "errors": []}'):
-        with pytest.raises(C.ReplyError):
-            C.read_reply(bad, WORDS, HINTS)
-
-
-def test_resolution_gives_every_word_one_verdict():
-    hints = {"h1": (1, 1), "h2": (2, 2), "h3": (5, 5)}
-
-    def v(a, b, hint=None, conf=0.9):
-        return {"start": a, "end": b, "replacement": "x", "confidence": conf, "hint": hint}
-
-    out = C.resolve([v(1, 2, "h1"), v(2, 2, "h2"), v(5, 5, "h3"), v(2, 3), v(7, 8, conf=0.91), v(8, 9, conf=0.95)], hints)
-    assert [(o["start"], o["end"], o["hint"], o["absorbed"]) for o in out] == [(1, 2, "h1", ["h2"]), (5, 5, "h3", []), (8, 9, None, [])]
-    hints["h3"] = (5, 6)
-    back = C.resolve([v(1, 1, "h1"), v(2, 5, "h2"), v(5, 6, "h3")], hints)
-    assert [(o["start"], o["end"], o["judged"]) for o in back] == [(1, 1, True), (2, 2, False), (5, 6, True)]
-
-
-def test_failed_chunks_are_reported(spark):
-    r = spark.createDataFrame([("t", 0, [(1, "a")], [("h", 1, 1, "a", ["b"])])], "transcript_id string, chunk_no int, words array<struct<gi:int,word:string>>, hints array<struct<id:string,start:bigint,end:bigint,span:string,candidates:array<string>>>")
-    assert C.judge_chunks(r, lambda w, h: "garbage").first().failure.startswith("no JSON")
-    assert C.judge_chunks(r).first().replacement == "b"
-
-
 def test_regions_and_kinds(spark):
-    got = A.regions([["we"], ["long", "term"], ["cough"], ["ka"], ["now"]], [["we"], ["long", "turm"], ["kafka"], ["now"]])
-    assert got == [(1, 4, 1, 3, ["term", "cough", "ka"], ["turm", "kafka"])]
+    said = {"hypothesis": ["we", "long-term", "cough", "ka", "<noise>", "now", "on"], "reference": ["we", "long-turm", "Kafka", None, "now"]}
+    tokens = spark.createDataFrame([("c", s, i, t, ["ORG"] if t == "Kafka" else []) for s, ts in said.items() for i, t in enumerate(ts)], "call_id string, side string, pos int, token string, entity_types array<string>")
+    got = [tuple(r) for r in A.align_calls(tokens).orderBy("region_no").collect()]
+    assert got == [("c", 0, 1, 4, 1, 3, ["term", "cough", "ka"], ["turm", "kafka"], ["ORG"]), ("c", 1, 5, 6, 0, 0, ["on"], [], [])]
+    assert A.align_calls(tokens.limit(0)).count() == 0
     rows = [("c", 0, 0, 0, 0, 1, [], ["x"]), ("c", 1, 0, 1, 0, 1, ["um"], []), ("c", 2, 0, 9, 0, 9, list("abcdefg"), []), ("c", 3, 0, 1, 0, 1, ["5"], ["five"]), ("c", 4, 0, 1, 0, 1, ["the"], ["a"]), ("c", 5, 0, 1, 0, 1, ["zorq"], ["work"]), ("c", 6, 0, 1, 0, 1, ["walk"], ["work"]), ("c", 7, 0, 2, 0, 1, ["in", "side"], ["inside"])]
-    df = spark.createDataFrame(rows, A.REGIONS)
+    rows = [(*r, []) for r in rows] + [("c", 8, 0, 1, 0, 1, ["may"], ["main"], ["DATE"]), ("c", 9, 0, 1, 0, 1, ["walk"], ["wok"], ["ORG"])]
+    df = spark.createDataFrame(rows, "call_id string, region_no int, h_from int, h_to int, r_from int, r_to int, h_forms array<string>, r_forms array<string>, entities array<string>")
     known = spark.createDataFrame([("walk",), ("work",)], "cleaned string")
-    kinds = {r.region_no: r.kind for r in A.classified(df, F.array(F.lit("um")), known).collect()}
-    assert kinds == {0: "deletion", 1: "filler", 2: "drift", 3: "format", 4: "function-word", 5: "non-word", 6: "real-word", 7: "format"}
-
+    got = A.classified(df, spark.createDataFrame([("um",)], "form string"), known).collect()
+    kinds = {r.region_no: r.kind for r in got}
+    assert {r.region_no for r in got if r.entity} == {9}
+    assert kinds == {0: "deletion", 1: "filler", 2: "drift", 3: "format", 4: "function-word", 5: "non-word", 6: "real-word", 7: "format", 8: "format", 9: "real-word"}
+
+
+def plain_cues(tokens, max_chars=42, max_us=7_000_000):
+    """Cues by one walk over (text, speaker, begin, finish), as the rules say."""
+    groups = []
+    for t in tokens:
+        g = groups[-1] if groups else None
+        if g and t[1] == g[-1][1] and not g[-1][0].endswith((".", "!", "?")) and len(" ".join(x[0] for x in [*g, t])) <= max_chars and t[3] - g[0][2] <= max_us:
+            g.append(t)
+        else:
+            groups.append([t])
+    out, before = [], -10_000
+    for k, g in enumerate(groups, 1):
+        start = max(g[0][2], before + 10_000)
+        out.append((k, start, max(g[-1][3], start + 10_000), " ".join(x[0] for x in g)))
+        before = start
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cues_equal_a_plain_walk_over_many_blocks(spark, seed):
+    """A call that holds most of all rows is cut in blocks of 32 tokens; no sentence end bounds its runs."""
+    rng = random.Random(seed)
+    rows, want, no = [], [], 0
+    for call, n in (("long", 700), ("one", 1), ("short", 40)):
+        at, tokens = 0, []
+        for i in range(n):
+            at += rng.choice([0, 100_000, 400_000, 3_000_000])
+            text = "x" * rng.randint(1, 9) + ("." if seed and rng.random() < 0.05 else "")
+            tokens.append((text, rng.choice("ab") if rng.random() < 0.1 else "a", at, at + rng.randint(0, 500_000)))
+            rows.append((no, call, "hypothesis", i, text, tokens[-1][1], f"{at / 1e6:.6f}", f"{tokens[-1][3] / 1e6:.6f}", None))
+            no += 1
+        want += [(call, *c) for c in plain_cues(tokens)]
+    df = spark.createDataFrame(rows, "token_id bigint, call_id string, side string, pos int, token string, speaker string, ts string, endts string, punctuation string")
+    got = A.cues_from_tokens(df.repartition(3), block_bits=5)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert A.cues_from_tokens(df.limit(0)).count() == 0
+
+
+def test_cues_without_times(spark):
+    rows = [("c", i, t, s, a, e) for i, (t, s, a, e) in enumerate([("a", "1", "0", "0.4"), ("b.", "1", "0.5", "0.9"), ("c", "1", None, "bad"), ("d", None, "1", None), ("e", None, None, "0.5")])]
+    df = spark.createDataFrame([(*r, "hypothesis", None) for r in rows], "call_id string, pos int, token string, speaker string, ts string, endts string, side string, punctuation string")
+    got = [tuple(r)[1:] for r in A.cues_from_tokens(df).orderBy("cue_index").collect()]
+    assert got == [(1, 0, 900_000, "a b."), (2, 10_000, 20_000, "c"), (3, 1_000_000, 1_010_000, "d e")]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_shortest_unique_window_equals_a_search(seed):
+    rng = random.Random(seed)
+    tokens = [rng.choice("abc") for _ in range(rng.randint(1, 25))]
+    start = rng.randrange(len(tokens))
+    end = rng.randint(start + 1, min(len(tokens), start + 3))
 
-def test_cues_from_timed_tokens():
-    starts, ends = [0.0, 0.5, None, 1.0, 1.0], [0.4, 0.9, None, 1.0, 0.5]
-    cues = A.group_cues(starts, ends, ["a", "b.", "c", "d", "e"], ["1", "1", "1", "2", "2"])
-    assert [(a, b) for a, b, _, _ in cues] == [(0, 2), (2, 3), (3, 5)]
-    assert all(x[2] < y[2] for x, y in zip(cues, cues[1:])) and all(e > s for _, _, s, e in cues)
-    assert A.unique_context(list("abcab"), 0, 1) == (0, 3)
+    def count(x):
+        return sum(tokens[i : i + len(x)] == x for i in range(len(tokens) - len(x) + 1))
 
+    span = tokens[start:end]
+    windows = [(hi - lo, start - lo, lo, hi) for lo in range(start + 1) for hi in range(end, len(tokens) + 1)]
+    fit = [(lo, hi) for _, left, lo, hi in sorted(windows) if count(tokens[lo:hi]) == 1 and not any(tokens[i : i + len(span)] == span for i in range(lo, start))]
+    assert A.shortest_unique(A.unique_lengths(tokens), tokens, start, end) == (fit[0] if fit else (0, len(tokens)))
 
-def test_no_hesitation_form_is_dropped_silently(spark, tmp_path):
-    from murmurlake.plans import repair as R
-    from tests.conftest import DATA
 
-    for name in ("nlp_tokens", "cues"):
-        (tmp_path / f"{name}.parquet").symlink_to(f"{DATA}/{name}.parquet")
-    spark.range(R.MAX_FORMS).selectExpr("'f' || id AS form").write.parquet(f"{tmp_path}/fillers.parquet")
-    assert len(R._forms(spark, str(tmp_path))) == R.MAX_FORMS
-    spark.sql("SELECT 'one more' AS form").write.mode("append").parquet(f"{tmp_path}/fillers.parquet")
-    with pytest.raises(ValueError, match="hesitation forms"):
-        R.aligned_regions(spark, str(tmp_path))
+@pytest.mark.parametrize("seed", range(20))
+def test_alignment_costs_no_more_than_a_full_table(seed):
+    rng = random.Random(seed)
+    a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 20))] for _ in range(2))
+    table = np.zeros((len(a) + 1, len(b) + 1), int)
+    table[:, 0], table[0] = range(len(a) + 1), range(len(b) + 1)
+    for i in range(len(a)):
+        for j in range(len(b)):
+            table[i + 1, j + 1] = min(table[i, j] + (a[i] != b[j]), table[i, j + 1] + 1, table[i + 1, j] + 1)
+    gaps = A.gaps_of(a, b)
+    assert sum(max(h1 - h0, r1 - r0) for h0, h1, r0, r1 in gaps) == table[-1, -1]
 
 
 def test_scores_have_defaults(spark):
