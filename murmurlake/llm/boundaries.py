@@ -2,9 +2,9 @@
 
 Recordings with a roster teach them: their labels say where the speaker changes. A bounded sample of such
 pairs (``SAMPLE`` rows, the first by a seeded hash) fits gradient-boosted depth-two trees with logistic
-loss; the trees become one column expression, so every pair of cues is decided in the JVM. The decisions
-are given per cue and stop there: no turns are built from them, their features count raw words (hesitations,
-sounds and time stamps included), and tokens of calls get none.
+loss; the trees become one column expression, so every pair of cues is decided in the JVM. Features are
+those of the speech: hesitations, sounds and time stamps are classified token by token and left out, and a
+cue of nothing else neither ends a turn nor counts. ``decided_turns`` makes turns of the decisions.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmurlake.operators.scans import scan_before
+from murmurlake.session import materialise
 
 #: The most labelled pairs that are brought to the driver to fit on.
 SAMPLE = 20_000
@@ -88,21 +89,15 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, rate: float = 0.2, bins:
 
 
 def adjacent(cues: DataFrame) -> DataFrame:
-    """Each cue with the features of the step from the cue before it: owner, id, former_id, features.
+    """Each cue that has words with the features of the step from the one before it: owner, o1, o2, id, former_id, features.
 
-    ``cues`` has owner, o1 (start), o2 (place), id, ends (end), text, each once. Cues without start or text
-    are left out; an owner's first cue has no row. The cue before is found by a blocked scan.
+    ``cues`` are ``turns.cue_features``. An owner's first such cue has a null ``former_id`` and null features
+    of the step. The cue before is found by a blocked scan.
     """
-    t = F.col("text")
-    rows = cues.filter(F.col("o1").isNotNull() & t.isNotNull()).select(
-        "owner", "o1", "o2", "id", F.coalesce("ends", "o1").alias("ends"), F.size(F.split(F.trim(t), r"\s+")).cast("double").alias("words"),
-        t.rlike("[.?!…][\"'”’)\\]]*\\s*$").cast("double").alias("closes"), t.rlike(r"^[^\p{L}]*\p{Lu}").cast("double").alias("opens_capital"),
-        t.rlike(r"^\s*(?:>>|[-–—]\s|<v|\[|\()").cast("double").alias("marked"), t.rlike(r"^[^.!?:]{1,40}:\s").cast("double").alias("named"), F.shiftright("o1", 28).alias("block"),
-    )
-    said = rows.withColumn("said", F.struct("o1", "o2", "id", "ends", "closes", "words"))
-    b = scan_before(said, ["owner"], "block", ["o1", "o2", "id"], "said", "former").filter(F.col("former").isNotNull())
+    said = cues.filter("words > 0").withColumns({"said": F.struct("o1", "o2", "id", F.coalesce("ends", "o1").alias("ends"), "closes", "words"), "block": F.shiftright("o1", 28)})
+    b = scan_before(said, ["owner"], "block", ["o1", "o2", "id"], "said", "former")
     gap = F.greatest(F.lit(-60.0), F.least(F.lit(60.0), (F.col("o1") - F.col("former.ends")) / 1e6))
-    return b.select("owner", "id", F.col("former.id").alias("former_id"), gap.alias("gap"), F.col("former.closes").alias("former_ends"), "opens_capital", "marked", "named", F.col("former.words").alias("former_words"), "words")
+    return b.select("owner", "o1", "o2", "id", F.col("former.id").alias("former_id"), gap.alias("gap"), F.col("former.closes").alias("former_ends"), "opens_capital", "marked", "named", F.col("former.words").alias("former_words"), "words")
 
 
 def labelled(pairs: DataFrame, words: DataFrame) -> DataFrame:
@@ -121,6 +116,33 @@ def fit_on(pairs: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> Boosted:
 
 
 def decided(pairs: DataFrame, model: Boosted) -> DataFrame:
-    """Pairs with the probability of a change of speaker and the decision."""
+    """Pairs with the probability of a change of speaker and the decision; null and true for an owner's first cue."""
     odds = model.column([F.col(f) for f in FEATURES])
-    return pairs.withColumn("probability", 1 / (1 + F.exp(-odds))).withColumn("changes", F.col("probability") > 0.5)
+    known = F.col("former_id").isNotNull()
+    return pairs.withColumn("probability", F.when(known, 1 / (1 + F.exp(-odds)))).withColumn("changes", ~known | (F.col("probability") > 0.5))
+
+
+def decided_turns(decisions: DataFrame) -> DataFrame:
+    """Turns of the cues between decided changes: owner_id, turn_no (from 1), first_id, last_id, cues, probability
+    (of the change that opens the turn; null for the first)."""
+    order = ["o1", "o2", "id"]
+    marked = materialise(decisions.withColumns({"starts": F.col("changes").cast("bigint"), "block": F.shiftright("o1", 28)}))
+    numbered = scan_before(marked, ["owner"], "block", order, "starts", "n", fold="sum").withColumn("turn_no", (F.coalesce("n", F.lit(0)) + F.col("starts")).cast("int"))
+    place = F.struct(*order)
+    per = numbered.groupBy("owner", "turn_no").agg(F.min_by("id", place).alias("first_id"), F.max_by("id", place).alias("last_id"), F.count("*").alias("cues"), F.min_by("probability", place).alias("probability"))
+    return per.withColumnRenamed("owner", "owner_id")
+
+
+def held_out_report(pairs: DataFrame, share: int = 4) -> dict[str, float]:
+    """Fit on the labelled ``pairs`` of most owners, judge those of the others (one in ``share`` by hash):
+    pairs, base rate of changes, accuracy, precision and recall of changes, and the share of true turns that
+    the decisions cut exactly (both ends right)."""
+    held = F.pmod(F.xxhash64("owner"), F.lit(share)) == 0
+    test = materialise(decided(pairs.filter(held), fit_on(pairs.filter(~held))))
+    yes, true = F.col("changes"), F.col("changed") > 0
+    row = test.agg(F.count("*").alias("pairs"), F.avg("changed").alias("base"), F.avg((yes == true).cast("int")).alias("accuracy"), F.avg(F.when(yes, true.cast("int"))).alias("precision"), F.avg(F.when(true, yes.cast("int"))).alias("recall")).first()
+    both = {}
+    for name, c in (("true", "changed > 0"), ("decided", "changes")):
+        both[name] = decided_turns(test.withColumn("changes", F.expr(c))).select("owner_id", "first_id", "last_id")
+    exact = both["true"].join(both["decided"], ["owner_id", "first_id", "last_id"], "left_semi").count() / max(1, both["true"].count())
+    return {**row.asDict(), "exact_turns": exact}
