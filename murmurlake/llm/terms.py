@@ -1,19 +1,26 @@
 """Occurrences and record counts of every term, kept current by signed deltas.
 
-A state folder holds two tables, both partitioned by a hash bucket of the term:
+A state folder holds four tables of signed rows, each in levels, one level for every change set:
 
-* ``postings``: field, owner, term, occurrences, rows. The rows that put a term into a record.
-* ``counts``: field, term, total, owners. What queries read.
+* ``postings``: field, owner, term, d_occ, d_rows; the rows that put a term into a record, by hash bucket;
+* ``counts``: field, term, d_total, d_owners, d_keys, by the same buckets; what queries read, summed up;
+* ``owners``: field, owner, d_keys, by hash bucket of the owner; the terms a record has;
+* ``records``: field, d_records; one row a field.
 
 A change set is a table of rows with ``sign`` +1 (added) or -1 (deleted); a changed row is a deletion of
-its old form and an addition of its new one. Only the change set is aggregated, only postings it touches
-change, and a term's owner count moves only where a posting appears or vanishes. The first load is the
-change set that adds everything. Every version is written beside the former, so a lost executor or a
-failed merge leaves a whole state behind.
+its old form and an addition of its new one. Only the change set is aggregated and only its level is
+written, so what is written follows the change set, not the state. A term's owner count moves only where a
+posting appears or vanishes: that is known from the earlier levels' postings of the same keys, of which
+only the touched buckets are read. The first load is the change set that adds everything. ``compact`` sums
+the levels into one and removes them; it runs by itself once there are ``MAX_LEVELS``. A level is written
+beside the others and counts from when all of it is there, so a lost executor or a failed write leaves the
+state before it.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,13 +29,19 @@ EDGE = "\"'`.,;:!?()[]{}<>«»•–—…“”‘’"
 #: Characters with the Unicode property White_Space (fixed value).
 BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 BLANK_CLASS = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+#: Buckets of the tables; choose as many as make a bucket's postings fit a task.
 BUCKETS = 64
-_POSTING = "field string, owner string, term string, occurrences bigint, rows bigint"
-SCHEMAS = {
-    "postings": _POSTING,
-    "merged": f"{_POSTING}, __had bigint, d_occ bigint, __touched boolean",
-    "counts": "field string, term string, total bigint, owners bigint, keys bigint",
+#: Levels from which on a change set also sums up the levels.
+MAX_LEVELS = 8
+#: Keys and signed columns of the state's tables.
+TABLES = {
+    "postings": (("field", "owner", "term"), ("d_occ", "d_rows")),
+    "counts": (("field", "term"), ("d_total", "d_owners", "d_keys")),
+    "owners": (("field", "owner"), ("d_keys",)),
+    "records": (("field",), ("d_records",)),
 }
+#: The key whose hash is a row's bucket.
+_BUCKET = {"postings": ("field", "term"), "counts": ("field", "term"), "owners": ("field", "owner")}
 
 
 def words_of(text: Column) -> Column:
@@ -58,70 +71,93 @@ def changes(postings: DataFrame) -> DataFrame:
 class TermCounts:
     """Persistent counts in a folder that all executors share."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
-        self.version = 0
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS, max_levels: int = MAX_LEVELS):
+        self.spark, self.path, self.buckets, self.max_levels = spark, path.rstrip("/"), buckets, max_levels
+        self.levels: list[int] = []
+        self.made = 0
+
+    def _read(self, name: str, levels: list[int], buckets: list[int] | None = None) -> DataFrame:
+        keys, signed = TABLES[name]
+        # with its schema, as a level may be empty
+        ddl = ", ".join([*(f"{k} string" for k in keys), *(f"{c} bigint" for c in signed), *(["bucket int"] if name in _BUCKET else [])])
+        paths = [f"{self.path}/level={n}/{name}" for n in levels]
+        if not paths:
+            return self.spark.createDataFrame([], ddl)
+        df = self.spark.read.schema(ddl).parquet(*paths) if len(paths) == 1 else self._union(ddl, paths)
+        return df if buckets is None else df.filter(F.col("bucket").isin(buckets))
+
+    def _union(self, ddl: str, paths: list[str]) -> DataFrame:
+        parts = [self.spark.read.schema(ddl).parquet(p) for p in paths]
+        return reduce(DataFrame.unionByName, parts)
+
+    def _write(self, df: DataFrame, name: str, level: int) -> DataFrame:
+        where = f"{self.path}/level={level}/{name}"
+        if name in _BUCKET:
+            bucket = F.pmod(F.xxhash64(*_BUCKET[name]), F.lit(self.buckets)).cast("int")
+            # a bucket's rows are brought together, so that each has one file
+            df.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(where)
+        else:
+            df.coalesce(1).write.mode("overwrite").parquet(where)
+        return self._read(name, [level])
+
+    def _summed(self, name: str, levels: list[int], buckets: list[int] | None = None) -> DataFrame:
+        keys, signed = TABLES[name]
+        rows = self._read(name, levels, buckets)
+        # a level has each key once
+        return rows.select(*keys, *signed) if len(levels) == 1 else rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in signed])
+
+    def _known(self, fresh: DataFrame, name: str, column: str) -> DataFrame:
+        """``fresh`` (a level's rows) with ``had``: what the earlier levels hold of ``column`` for the same keys."""
+        if not self.levels:
+            return fresh.withColumn("had", F.lit(0).cast("bigint"))
+        keys, _ = TABLES[name]
+        touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # at most as many as there are buckets
+        wanted = fresh.select(*[F.col(k).alias(f"__{k}") for k in keys], F.lit(True).alias("__one"))
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+        old = self._read(name, self.levels, touched).join(wanted, same, "left_semi").groupBy(*keys).agg(F.sum(column).alias("had"))
+        old = old.select(*[F.col(k).alias(f"__{k}") for k in keys], "had")
+        return fresh.join(old, same, "left").drop(*[f"__{k}" for k in keys]).withColumn("had", F.coalesce("had", F.lit(0)))
 
-    def _at(self, name: str, version: int | None = None) -> str:
-        return f"{self.path}/v{self.version if version is None else version}/{name}"
+    def apply(self, signed: DataFrame) -> "TermCounts":
+        """Take in a change set; columns field, owner, term, n, sign. Returns self."""
+        level = self.made + 1
+        fresh = self._write(changes(signed), "postings", level)
+        rows = F.col("d_rows") + F.col("had")
+        moves = self._known(fresh, "postings", "d_rows").withColumn("present", (rows > 0).cast("bigint") - (F.col("had") > 0).cast("bigint"))
+        owned = F.when(F.col("owner").isNotNull(), F.col("present")).otherwise(0)
+        per_term = moves.groupBy("field", "term").agg(F.sum("d_occ").alias("d_total"), F.sum(owned).alias("d_owners"), F.sum("present").alias("d_keys"))
+        self._write(per_term, "counts", level)
+        per_owner = moves.filter(F.col("owner").isNotNull()).groupBy("field", "owner").agg(F.sum("present").alias("d_keys")).filter("d_keys <> 0")
+        owners = self._known(self._write(per_owner, "owners", level), "owners", "d_keys")
+        came = (F.col("had") + F.col("d_keys") > 0).cast("bigint") - (F.col("had") > 0).cast("bigint")
+        self._write(owners.groupBy("field").agg(F.sum(came).alias("d_records")), "records", level)
+        self.made = level
+        self.levels.append(level)
+        if len(self.levels) >= self.max_levels:
+            self.compact()
+        return self
 
-    def postings(self) -> DataFrame:
-        return self._read("postings", self.version)
+    def compact(self) -> "TermCounts":
+        """Sum the levels into one, without rows that came to nothing, and remove them."""
+        if len(self.levels) > 1:
+            level, old = self.made + 1, self.levels
+            for name, (_, signed) in TABLES.items():
+                gone = reduce(lambda a, b: a & b, [F.col(c) == 0 for c in signed])
+                self._write(self._summed(name, old).filter(~gone), name, level)
+            self.made, self.levels = level, [level]
+            jvm = self.spark.sparkContext._jvm
+            for n in old:
+                path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/level={n}")
+                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        return self
 
     def counts(self) -> DataFrame:
-        return self._read("counts", self.version)
-
-    def _read(self, name: str, version: int) -> DataFrame:
-        # with its schema, as a state may be empty
-        return self.spark.read.schema(f"{SCHEMAS[name]}, bucket int").parquet(self._at(name, version))
-
-    def _write(self, df: DataFrame, name: str, version: int) -> DataFrame:
-        bucket = F.pmod(F.xxhash64("field", "term"), F.lit(self.buckets)).cast("int")
-        where = self._at(name, version)
-        # one file per bucket and task is enough: rows of a bucket are brought together first
-        df.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(where)
-        return self._read(name, version)
-
-    def apply(self, signed: DataFrame) -> "TermCounts":
-        """Merge a change set; columns field, owner, term, n, sign. Returns self at its next version."""
-        delta = changes(signed)
-        following = self.version + 1
-        key = ["field", "owner", "term"]
-        if self.version:
-            old = self.postings().select(*key, "occurrences", "rows")
-            renamed = delta.select(*[F.col(c).alias(f"__{c}") for c in key], "d_occ", "d_rows")
-            same = F.lit(True)
-            for c in key:
-                same = same & old[c].eqNullSafe(renamed[f"__{c}"])
-            joined = old.join(renamed, same, "full_outer")
-            merged = joined.select(
-                *[F.when(F.col("rows").isNotNull(), F.col(c)).otherwise(F.col(f"__{c}")).alias(c) for c in key],
-                F.coalesce("rows", F.lit(0)).alias("__had"),
-                (F.coalesce("occurrences", F.lit(0)) + F.coalesce("d_occ", F.lit(0))).alias("occurrences"),
-                (F.coalesce("rows", F.lit(0)) + F.coalesce("d_rows", F.lit(0))).alias("rows"),
-                F.coalesce("d_occ", F.lit(0)).alias("d_occ"),
-                F.col("d_rows").isNotNull().alias("__touched"),
-            )
-        else:
-            merged = delta.select(*key, F.lit(0).cast("bigint").alias("__had"), F.col("d_occ").alias("occurrences"), F.col("d_rows").alias("rows"), "d_occ", F.lit(True).alias("__touched"))
-        kept = self._write(merged.filter((F.col("rows") > 0) | F.col("__touched")), "merged", following)
-        present = (F.col("rows") > 0).cast("bigint") - (F.col("__had") > 0).cast("bigint")
-        moved = (
-            kept.filter("__touched")
-            .groupBy("field", "term")
-            .agg(F.sum("d_occ").alias("total"), F.sum(F.when(F.col("owner").isNotNull(), present).otherwise(0)).alias("owners"), F.sum(present).alias("keys"))
-        )
-        if self.version:
-            moved = moved.unionByName(self.counts().select("field", "term", "total", "owners", "keys"))
-            moved = moved.groupBy("field", "term").agg(*[F.sum(c).alias(c) for c in ("total", "owners", "keys")])
-        self._write(moved.filter(F.col("keys") > 0), "counts", following)
-        self._write(kept.filter(F.col("rows") > 0).select(*key, "occurrences", "rows"), "postings", following)
-        self.version = following
-        return self
+        """field, term, total, owners of every term that any record has."""
+        return self._summed("counts", self.levels).filter("d_keys > 0").select("field", "term", F.col("d_total").alias("total"), F.col("d_owners").alias("owners"))
 
     def records(self) -> DataFrame:
         """Per field the number of records with any term."""
-        return self.postings().filter(F.col("owner").isNotNull()).groupBy("field", "owner").agg(F.lit(1).alias("one")).groupBy("field").agg(F.count("*").alias("records"))
+        return self._summed("records", self.levels).select("field", F.col("d_records").alias("records"))
 
 
 def marked(counts: DataFrame, records: DataFrame, rare_below: int = 3, common_share: float = 0.5) -> DataFrame:

@@ -30,7 +30,7 @@ def counts(state):
 def test_deltas_equal_counting_anew(spark):
     rng = random.Random(3)
     live, log = [], []
-    state = TermCounts(spark, scratch_table(spark, "test-terms"), buckets=4)
+    state = TermCounts(spark, scratch_table(spark, "test-terms"), buckets=4, max_levels=3)
     for _ in range(4):
         gone = rng.sample(live, len(live) // 3)
         for g in gone:
@@ -41,6 +41,9 @@ def test_deltas_equal_counting_anew(spark):
         log += change
         state.apply(spark.createDataFrame(change, SCHEMA))
         assert counts(state) == brute(log) == brute([(*r, 1) for r in live])
+        held = {(f, o) for f, o, t, _ in live if t is not None and o is not None}
+        assert {r.field: r.records for r in state.records().collect()} == {f: sum(g == f for g, _ in held) for f in {f for f, *_ in log}}
+    assert len(state.levels) == 2  # summed up once on the way
 
 
 def test_empty_first_load(spark):
@@ -62,3 +65,20 @@ def test_terms_of_a_text(spark):
     assert spark.range(1).select(whole_term(F.lit("  “A  B!” ")).alias("t")).first().t == "a  b"
     assert spark.range(1).select(whole_term(F.lit(" … ")).alias("t")).first().t is None
     assert spark.range(1).select(words_of(F.lit("")).alias("t")).first().t == []
+
+
+def size_of(path):
+    import os
+
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(path.removeprefix("file://").removeprefix("file:")) for f in fs)
+
+
+def test_what_is_written_follows_the_change_set(spark):
+    state = TermCounts(spark, scratch_table(spark, "test-size"), buckets=4)
+    state.apply(spark.range(200_000).selectExpr("'f' AS field", "CAST(id % 1000 AS STRING) AS owner", "CAST(id AS STRING) AS term", "1L AS n", "1 AS sign"))
+    state.apply(spark.createDataFrame([("f", "1", "1", 1, -1), ("f", "new", "1", 1, 1)], SCHEMA))
+    first, second = (size_of(f"{state.path}/level={n}") for n in state.levels)
+    assert second < first / 50, (first, second)
+    assert {(r.term, r.total, r.owners) for r in state.counts().filter("term IN ('1', '2')").collect()} == {("1", 1, 1), ("2", 1, 1)}
+    assert state.records().first().records == 1001
+    assert state.compact().levels == [3] and state.counts().count() == 200_000 and state.records().first().records == 1001
