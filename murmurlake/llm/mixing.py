@@ -96,7 +96,7 @@ def mix(sizes: DataFrame, leaf: Sequence[str], record: str, size: str, budgets:
     """
     order = F.xxhash64(F.lit(seed), F.col("full") + 1, F.col(record))
     keyed = (
-        sizes.join(F.broadcast(budgets), list(leaf))
+        sizes.join(budgets, list(leaf))
         .withColumn("__order", order)
         .withColumn("__block", F.shiftright("__order", 64 - block_bits))
         .withColumn("__size", F.coalesce(F.col(size), F.lit(0)))

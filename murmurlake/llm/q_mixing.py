@@ -14,6 +14,15 @@ from murmurlake.sources.tables import table
 
 SEED = 20240607
 LEAF = ["source", "lang"]
+#: Domains of languages; any other language is of domain 'other'.
+DOMAINS = {
+    "code": ("c", "css", "go", "java", "javascript", "python", "rust", "shell", "sql"),
+    "text": ("html", "markdown", "text"),
+    "data": ("csv", "json", "toml", "yaml"),
+}
+#: Domains of a source and languages of a domain are weighted by what they hold to this power, so small ones
+#: get more than their part of the tokens; 1 would be proportional, 0 equal.
+TEMPERATURE = 0.5
 
 
 def _targets(spark: SparkSession, root: str) -> DataFrame:
@@ -22,7 +31,7 @@ def _targets(spark: SparkSession, root: str) -> DataFrame:
 
 def sized(spark: SparkSession, root: str) -> DataFrame:
     """Tokens of every document of a targeted source, counted once and kept in the shared folder."""
-    docs = table(spark, root, "documents").join(F.broadcast(_targets(spark, root).select("source")), "source", "left_semi")
+    docs = table(spark, root, "documents").join(_targets(spark, root).select("source"), "source", "left_semi")
     docs = docs.select("doc_id", "source", F.coalesce("lang", F.lit("")).alias("lang"), "text")
     return materialise(encode_texts(docs, "text", ["doc_id", "source", "lang"], out="tokens", counts_only=True))
 
@@ -30,9 +39,10 @@ def sized(spark: SparkSession, root: str) -> DataFrame:
 def plan_budgets(spark: SparkSession, root: str, sizes: DataFrame) -> list[tuple]:
     """(source, lang, tokens held, budget, whole epochs, tokens of the partial epoch) of every leaf.
 
-    The tree is source, then language within the source: a source has its target share, its languages
-    have shares by the tokens they hold. As their capacities are in the same proportion, they fill up
-    together: shortages move between sources only, never between languages of one.
+    The tree is source, then domain, then language. A source has its target share; its domains and their
+    languages are weighted by ``TEMPERATURE``. A small language is repeated until its repeats are used up;
+    what it cannot take goes to the other languages of its domain, only then to the source's other domains,
+    and only what a whole source cannot take to other sources. Runs jobs; its result is one row a leaf.
     """
     targets = _targets(spark, root).limit(MAX_LEAVES + 1).collect()
     held = sizes.groupBy(*LEAF).agg(F.sum("tokens").alias("tokens")).limit(MAX_LEAVES + 1).collect()
@@ -42,8 +52,18 @@ def plan_budgets(spark: SparkSession, root: str, sizes: DataFrame) -> list[tuple
     total = sum(r["tokens"] for r in held)
     rows = sorted(held, key=lambda r: (r["source"], r["lang"]))
     repeats = {s: max(0, t["max_repeats"] if t["max_repeats"] is not None else 1) for s, t in wanted.items()}
-    leaves = [((r["source"], r["lang"]), (wanted[r["source"]]["target_share"] or 0.0, float(r["tokens"])), float(r["tokens"] * repeats[r["source"]])) for r in rows]
-    budgets = leaf_budgets(leaves, float(total))
+    domain_of = {lang: d for d, langs in DOMAINS.items() for lang in langs}
+    domains = {r["lang"]: domain_of.get(r["lang"], "other") for r in rows}
+    in_domain: dict[tuple[str, str], int] = {}
+    for r in rows:
+        key = (r["source"], domains[r["lang"]])
+        in_domain[key] = in_domain.get(key, 0) + r["tokens"]
+    leaves = []
+    for r in rows:
+        source, lang = r["source"], r["lang"]
+        weights = (wanted[source]["target_share"] or 0.0, in_domain[(source, domains[lang])] ** TEMPERATURE, r["tokens"] ** TEMPERATURE)
+        leaves.append(((source, domains[lang], lang), weights, float(r["tokens"] * repeats[source])))
+    budgets = {(path[0], path[2]): b for path, b in leaf_budgets(leaves, float(total)).items()}
     out = []
     for r in rows:
         b = budgets[(r["source"], r["lang"])]
@@ -72,7 +92,7 @@ def p7_shares(spark: SparkSession, root: str) -> DataFrame:
     taken, budgets = _mixed(spark, root)
     got = taken.groupBy("source").agg(F.sum("tokens").alias("taken_tokens"), F.max("epoch").alias("most_repeats"), F.count_distinct("doc_id").alias("documents"))
     plan = budgets.groupBy("source").agg(F.sum("held").alias("held_tokens"), F.sum("budget").alias("budget_tokens"))
-    rows = _targets(spark, root).join(F.broadcast(plan), "source", "left").join(F.broadcast(got), "source", "left")
+    rows = _targets(spark, root).join(plan, "source", "left").join(got, "source", "left")
     zero = {c: 0 for c in ("held_tokens", "budget_tokens", "taken_tokens", "most_repeats", "documents")}
     rows = rows.fillna(zero)
     held, taken_all = rows.agg(F.sum("held_tokens")).scalar(), rows.agg(F.sum("taken_tokens")).scalar()
@@ -90,5 +110,12 @@ def p7_shares(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-QUERIES = {"p7_mix": p7_mix, "p7_shares": p7_shares}
+def p7_leaves(spark: SparkSession, root: str) -> DataFrame:
+    """Per source and language what it holds, its budget and what the mix takes of it."""
+    taken, budgets = _mixed(spark, root)
+    got = taken.groupBy(*LEAF).agg(F.sum("tokens").alias("taken_tokens"))
+    return budgets.select(*LEAF, "held", "budget").join(got, LEAF, "left").fillna(0, ["taken_tokens"])
+
+
+QUERIES = {"p7_mix": p7_mix, "p7_shares": p7_shares, "p7_leaves": p7_leaves}
 ORACLES: dict = {}

@@ -48,3 +48,33 @@ def test_whole_mix_reaches_its_budgets(spark):
         langs = max(1, len({t["lang"] for t in taken if t.source == r.source}))
         assert abs(r.taken_tokens - r.budget_tokens) <= langs * biggest / 2 + 1
         assert r.taken_tokens <= r.held_tokens * r.max_repeats
+
+
+def test_the_plan_fills_up_siblings_first(spark):
+    """Water-filling at every level: open siblings have one multiple of their weights, full ones at most that."""
+    from collections import defaultdict
+
+    from murmurlake.llm.q_mixing import DOMAINS, TEMPERATURE, p7_leaves
+
+    root = "/root/testdata/sf0.01"
+    caps = {r.source: r.max_repeats for r in spark.read.parquet(f"{root}/mix_targets.parquet").collect()}
+    domain_of = {lang: d for d, langs in DOMAINS.items() for lang in langs}
+    families = defaultdict(list)
+    held = defaultdict(float)
+    given = defaultdict(float)
+    for r in p7_leaves(spark, root).collect():
+        d = (r.source, domain_of.get(r.lang, "other"))
+        families[d].append((r.held**TEMPERATURE, r.held * caps[r.source], r.budget))
+        held[d] += r.held
+        given[d] += r.budget
+    for (source, domain), tokens in held.items():
+        families[source].append((tokens**TEMPERATURE, tokens * caps[source], given[(source, domain)]))
+    full = mixed = 0
+    for kids in families.values():
+        open_ = [b / w for w, limit, b in kids if w and b < limit - 1e-6]
+        full += sum(b >= limit - 1e-6 for _, limit, b in kids)
+        if open_:
+            mixed += len(open_) < len(kids)
+            assert max(open_) - min(open_) <= 1e-6 * max(open_)
+            assert all(limit / w <= max(open_) * (1 + 1e-6) for w, limit, b in kids if w and b >= limit - 1e-6)
+    assert full and mixed  # some leaves were full and their siblings took over
