@@ -2,11 +2,12 @@
 
 Time is counted in exact integer units. Every entity's time line is cut into shards of ``2**shard_bits``
 units. An interval sets one run of units in the shard it starts in and one in the shard it ends in; the
-whole shards between the two are one run of the entity's coarse bitmap, so an interval costs at most
-three rows however long it is. A shard's bitmap is kept as its sorted, disjoint runs (run-length
-compressed). Bitmaps are united per entity and shard, and the set runs (periods) and clear runs (gaps)
-are then read off across shards with a blocked scan, so a key with a third of all rows is spread over as
-many tasks as it has shards.
+whole shards between the two are one coarse run that stands in the first of them, so an interval costs at
+most three rows however long it is. A shard's bitmap is kept as its sorted, disjoint runs (run-length
+compressed), one row each, so no shard is ever one value. Bitmaps are united per entity and shard, and the
+set runs (periods) and clear runs (gaps) are then read off across shards: each shard is summed up by its
+reach, these short rows are scanned per entity, and all shards are finished in parallel. A key with a third
+of all rows is spread over as many tasks as it has shards (of four and a half minutes).
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from murmurlake.operators.scans import join_null_safe, scan_before
 from murmurlake.session import materialise
 
 SHARD_BITS = 28
-BLOCK_BITS = 10
 
 
 def _pieces(start: Column, end: Column, bits: int) -> Column:
@@ -28,41 +28,41 @@ def _pieces(start: Column, end: Column, bits: int) -> Column:
     last = F.shiftright(end - F.lit(1).cast("bigint"), bits)
     unit = F.lit(1 << bits).cast("bigint")
 
-    def piece(shard: Column, lo: Column, hi: Column, coarse: bool) -> Column:
-        return F.struct(shard.alias("shard"), lo.alias("lo"), hi.alias("hi"), F.lit(coarse).alias("coarse"))
+    def piece(shard: Column, lo: Column, hi: Column) -> Column:
+        return F.struct(shard.alias("shard"), lo.alias("lo"), hi.alias("hi"))
 
-    one = F.array(piece(first, start, end, False))
-    ends = F.array(piece(first, start, (first + 1) * unit, False), piece(last, last * unit, end, False))
-    middle = F.array(piece(first + 1, (first + 1) * unit, last * unit, True))
+    one = F.array(piece(first, start, end))
+    ends = F.array(piece(first, start, (first + 1) * unit), piece(last, last * unit, end))
+    middle = F.array(piece(first + 1, (first + 1) * unit, last * unit))
     return F.when(first == last, one).when(last == first + 1, ends).otherwise(F.concat(ends, middle))
 
 
 def run_bitmaps(df: DataFrame, keys: Sequence[str], start: str, end: str, shard_bits: int = SHARD_BITS) -> DataFrame:
-    """One row per key and shard with its united runs, and one per coarse run.
+    """The united runs of every key and shard, one row each: keys, shard, lo, hi.
 
-    Columns: keys, shard, coarse, runs (sorted, disjoint, non-touching ``array<struct<lo,hi>>``). Rows with
-    a null or non-positive length are left out.
+    Runs of a shard are disjoint and do not touch; one that holds a coarse run reaches beyond its shard.
+    Rows with a null or non-positive length are left out.
     """
     s, e = F.col(start).cast("bigint"), F.col(end).cast("bigint")
     cut = (
         df.filter(s.isNotNull() & e.isNotNull() & (e > s))
         .select(*keys, F.inline(_pieces(s, e, shard_bits)))
         # equal starts keep the longest piece only: combined before the shuffle
-        .groupBy(*keys, "shard", "coarse", "lo")
+        .groupBy(*keys, "shard", "lo")
         .agg(F.max("hi").alias("hi"))
     )
-    w = Window.partitionBy(*keys, "shard", "coarse").orderBy("lo")
+    w = Window.partitionBy(*keys, "shard").orderBy("lo")
     reach = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    runs = (
+    return (
         cut.withColumn("__new", F.when(reach.isNull() | (F.col("lo") > reach), 1).otherwise(0))
         .withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*keys, "shard", "coarse", "__run")
+        .groupBy(*keys, "shard", "__run")
         .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        .drop("__run")
     )
-    return runs.groupBy(*keys, "shard", "coarse").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("runs"))
 
 
-def periods_and_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str, shard_bits: int = SHARD_BITS, block_bits: int = BLOCK_BITS) -> DataFrame:
+def periods_and_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str, shard_bits: int = SHARD_BITS) -> DataFrame:
     """Periods and gaps of every key.
 
     Result: keys, ``kind`` ('period' or 'gap'), ``start_us``, ``end_us``.
@@ -75,28 +75,12 @@ def periods_and_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str, s
     keys = list(keys)
     source = df.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(start).alias("__s"), F.col(end).alias("__e"))
     k = [f"__k{i}" for i in range(len(keys))]
-    rows = run_bitmaps(source, k, "__s", "__e", shard_bits).select(
-        *k,
-        "runs",
-        F.shiftright("shard", block_bits).alias("__block"),
-        F.col("runs")[0]["lo"].alias("__first"),
-        # a coarse run goes before the shard that it starts with
-        F.when(F.col("coarse"), 0).otherwise(1).alias("__rank"),
-        F.element_at("runs", -1)["hi"].alias("__reach"),
-        "shard",
-    )
-    rows = materialise(rows)  # short, and read three times
-    seen = scan_before(rows, k, "__block", ["shard", "__rank"], "__reach", "__before")
-    clear = F.transform(
-        "runs",
-        lambda r, i: F.struct(
-            F.greatest(F.col("__before"), F.when(i > 0, F.col("runs")[F.greatest(i - 1, F.lit(0))]["hi"])).alias("gap_start"),
-            r["lo"].alias("gap_end"),
-        ),
-    )
-    gaps = materialise(seen.select(*k, "__block", F.inline(F.filter(clear, lambda g: g["gap_start"] < g["gap_end"]))))
-    gaps = scan_before(gaps, k, "__block", ["gap_start"], "gap_end", "__opened")
-    ends = rows.groupBy(*k).agg(F.min("__first").alias("__lo"), F.max("__reach").alias("__hi"))
+    rows = materialise(run_bitmaps(source, k, "__s", "__e", shard_bits))  # short, and read more than once
+    seen = scan_before(rows, k, "shard", ["lo"], "hi", "__before")
+    clear = F.col("__before") < F.col("lo")
+    gaps = materialise(seen.filter(clear).select(*k, "shard", F.col("__before").alias("gap_start"), F.col("lo").alias("gap_end")))
+    gaps = scan_before(gaps, k, "shard", ["gap_start"], "gap_end", "__opened")
+    ends = rows.groupBy(*k).agg(F.min("lo").alias("__lo"), F.max("hi").alias("__hi"))
     last = gaps.groupBy(*k).agg(F.max("gap_end").alias("__last"))
     bounds = join_null_safe(ends, last, k)
     closed = join_null_safe(gaps, ends, k).select(

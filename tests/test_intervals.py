@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from murmurlake.operators.intervals import periods_and_gaps
+from murmurlake.operators.intervals import periods_and_gaps, run_bitmaps
 from murmurlake.operators.scans import scan_before
 
 
@@ -44,7 +44,7 @@ def test_random_intervals_over_small_shards(spark, seed):
         rows.append((rng.choice(["a", "a", "a", "b", None]), s, s + rng.choice([1, 2, 3, 7, 16, 40, 700])) if rng.random() < 0.9 else ("a", s, s - 1))
     sparse = [r for r in rows if rng.random() < 0.3]
     for some in (rows, sparse, sparse[:25]):
-        assert run(spark, some, shard_bits=3, block_bits=2) == brute(some)
+        assert run(spark, some, shard_bits=3) == brute(some)
 
 
 def test_very_long_interval_covers_many_shards(spark):
@@ -68,3 +68,15 @@ def test_blocked_scan_equals_plain_scan(spark):
         for k, o, _ in rows:
             before = [v for kk, oo, v in rows if kk == k and oo < o and v is not None]
             assert got[o] == (f(before) if before else None)
+
+
+def test_a_hot_transcript_is_spread_over_shards(spark):
+    """One transcript has a third of all rows; with the production shards no block of it is more than a small part."""
+    rng = random.Random(9)
+    hour = 3_600_000_000
+    hot = [("hot", s, s + rng.randint(1, 3_000_000)) for s in (rng.randint(0, 3 * hour) for _ in range(2000))]
+    rest = [(f"t{i % 80}", s, s + 900_000) for i, s in enumerate(rng.randint(0, hour) for _ in range(4000))]
+    df = spark.createDataFrame(hot + rest, "k string, s bigint, e bigint")
+    sizes = [r["count"] for r in run_bitmaps(df, ["k"], "s", "e").filter("k = 'hot'").groupBy("shard").count().collect()]
+    assert len(sizes) > 30 and max(sizes) < 0.1 * sum(sizes)
+    assert run(spark, hot + rest) == brute(hot + rest)
