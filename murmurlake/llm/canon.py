@@ -5,11 +5,12 @@ accents, ligatures or their letters, look-alike letters of other scripts, hyphen
 of single blanks, characters without width, and blanks at the ends. Case, missing accents, superscripts,
 the shape of quotes and line breaks are visible and stay.
 
-Most texts need no work: a scan in the JVM finds the ones with any character that could be unstable, and
-only those reach Python. The test is coarse, no normalization quick check: all but visible ASCII, blanks and
-line feeds counts as unstable. The other stretches are kept as they are; each unstable segment, with the
-one character before it as its boundary context (a base letter that an accent may join), is normalised
-and spliced back. Segments repeat endlessly, so their forms are remembered per worker up to a bound.
+Most texts need no work. A scan in the JVM finds those with any unstable character: one that the form
+replaces, or that is not surely normal by the quick-check properties of normalization (no NFC character, a
+combining class, or the second of a composition). Stable text in any script, composed accents included,
+passes by. Only the others reach Python, where each run of unstable characters, with the one character
+before it as its boundary context (a base letter that an accent may join), is checked, normalised and
+spliced back into the rest. Segments repeat endlessly, so their forms are remembered per worker up to a bound.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from murmurlake.operators.records import once
+from murmurlake.operators.scans import join_null_safe
 from murmurlake.session import materialise
 
 #: Letters of other scripts and the Latin letters they look like (fixed values, from the Unicode
@@ -42,14 +44,17 @@ LOOKALIKES = {
     "օ": "o", "Օ": "O", "ս": "u", "հ": "h", "ո": "n", "ց": "g", "զ": "q",
     # phonetic Latin
     "ɑ": "a", "ɡ": "g", "ɩ": "i",
+    # Cherokee
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L",
+    "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z", "Ꭵ": "i",
+    # Roman numerals of one letter
+    "Ⅰ": "I", "Ⅴ": "V", "Ⅹ": "X", "Ⅼ": "L", "Ⅽ": "C", "Ⅾ": "D", "Ⅿ": "M", "ⅰ": "i", "ⅴ": "v", "ⅹ": "x", "ⅼ": "l", "ⅽ": "c", "ⅾ": "d", "ⅿ": "m",
 }
 #: Hyphens of the same look as the ASCII one (fixed values).
 HYPHENS = "\u2010\u2011\u2043\u02d7\ufe63\uff0d"
-#: Texts in which any character may be unstable: all but visible ASCII, blanks and line feeds.
-UNSTABLE = r"[^\n -~]"
 REMEMBERED = 200_000
-
-_SEGMENT = re.compile(r"[\n -~]?[^\n -~]+")
+#: Code points that are neither looked up nor composed, one by one: ideographs, syllables and private use.
+_PLAIN = ((0x3400, 0xA000), (0xAC00, 0xF900), (0x20000, 0xE0000), (0xE1000, 0x110000))
 
 
 def _single(ch: str) -> str:
@@ -71,7 +76,7 @@ def _single(ch: str) -> str:
     # default-ignorable characters that are neither controls nor formats
     if n == 0x034F or 0xFE00 <= n <= 0xFE0F or 0xE0100 <= n <= 0xE01EF or 0x180B <= n <= 0x180D or n in (0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0):
         return ""
-    if 0xFB00 <= n <= 0xFB06:
+    if 0xFB00 <= n <= 0xFB06 or unicodedata.decomposition(ch).startswith("<font>"):
         return unicodedata.normalize("NFKC", ch)
     return ch
 
@@ -81,6 +86,31 @@ def _segment(text: str) -> str:
     return unicodedata.normalize("NFC", "".join(map(_single, unicodedata.normalize("NFD", text))))
 
 
+def _unstable() -> list[list[int]]:
+    """The unstable characters as ranges, by rule from the properties of each."""
+    looked_at = [n for lo, hi in zip((0, *(hi for _, hi in _PLAIN)), (lo for lo, _ in _PLAIN)) for n in range(lo, hi) if not 0xD800 <= n < 0xE000]
+    # what may compose with the character before it
+    seconds = {"\u1161", *map(chr, range(0x1161, 0x1176)), *map(chr, range(0x11A8, 0x11C3))}
+    for n in looked_at:
+        parts = unicodedata.decomposition(chr(n)).split()
+        if len(parts) == 2 and parts[0][0] != "<":
+            seconds.add(chr(int(parts[1], 16)))
+    found = [n for n in looked_at if (c := chr(n)) in seconds or unicodedata.combining(c) or _segment(c) != c]
+    runs: list[list[int]] = []
+    for n in found:
+        if runs and n == runs[-1][1] + 1:
+            runs[-1][1] = n
+        else:
+            runs.append([n, n])
+    return runs
+
+
+_RUNS = _unstable()
+#: Texts with any unstable character, as the JVM writes it; visible ASCII is told apart first, as that is cheap.
+UNSTABLE = r"[^\n -~&&[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _RUNS) + "]]"
+_SEGMENT = re.compile("(?s).?[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _RUNS) + "]+")
+
+
 _FORMS: dict[str, str] = {}
 
 
@@ -98,6 +128,8 @@ def _remembered(m: re.Match) -> str:
 
 def canonical(text: str) -> str:
     """The form of one text, blanks at the ends included."""
+    if text.isascii() and text.isprintable():
+        return text
     spliced = _SEGMENT.sub(_remembered, text)
     # a removed character may have stood between a letter and its accent, or between carriage return and feed
     return spliced if unicodedata.is_normalized("NFC", spliced) else unicodedata.normalize("NFC", spliced)
@@ -150,5 +182,19 @@ def lookalike_pairs(df: DataFrame, scope: list[str], record: str, text: str) ->
     return whole.select(*scope, F.least("__ia", "__ib").alias("id_a"), F.greatest("__ia", "__ib").alias("id_b"))
 
 
+def lookalike_classes(df: DataFrame, scope: list[str], record: str, text: str) -> DataFrame:
+    """Every record that looks like another with a different text: scope, id, class_id (the least id of its
+    form), links (records of the form with another text). The pairs of a class need not be written out:
+    any two members with different texts are one. Nulls and empty texts as in ``lookalike_pairs``.
+    """
+    src = df.select(*scope, F.col(record).alias("id"), F.col(text).alias("__text")).filter(F.col("id").isNotNull() & (F.length("__text") > 0))
+    rows = materialise(with_canonical(src, "__text", "__form"))
+    key = [*scope, "__form"]
+    texts = rows.groupBy(*key, "__text").agg(F.count("*").alias("__n"), F.min("id").alias("__least"))
+    forms = texts.groupBy(*key).agg(F.sum("__n").alias("__all"), F.min("__least").alias("class_id"), F.count("*").alias("__texts")).filter("__texts > 1")
+    texts = join_null_safe(texts, forms.drop("__texts"), key, "inner").withColumn("links", F.col("__all") - F.col("__n")).select(*key, "__text", "class_id", "links")
+    return join_null_safe(rows, texts, [*key, "__text"], "inner").select(*scope, "id", "class_id", "links")
+
+
 def records_of(df: DataFrame, record: str, columns: list[str]) -> DataFrame:
     return once(df.select(record, *columns), record)

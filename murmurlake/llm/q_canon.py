@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmurlake.llm.canon import HYPHENS, LOOKALIKES, lookalike_pairs, records_of, with_canonical
+from murmurlake.llm.canon import HYPHENS, LOOKALIKES, lookalike_classes, lookalike_pairs, records_of, with_canonical
 from murmurlake.sources.tables import table
 
 
@@ -21,6 +21,11 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return lookalike_pairs(_texts(spark, root), ["pair_of", "transcript_id"], "id", "text").select("pair_of", "id_a", "id_b")
 
 
+def p3_classes(spark: SparkSession, root: str) -> DataFrame:
+    """The same as classes: every cue and flag that has a look-alike, its class, and how many it has."""
+    return lookalike_classes(_texts(spark, root), ["pair_of", "transcript_id"], "id", "text").select(F.col("pair_of").alias("text_of"), "id", "class_id", "links")
+
+
 def p3_forms(spark: SparkSession, root: str) -> DataFrame:
     """Every cue and flag with the consistent form of its text."""
     return with_canonical(_texts(spark, root), "text", "form").select(F.col("pair_of").alias("text_of"), "id", "form")
@@ -44,11 +49,15 @@ WITH t AS (
   UNION ALL SELECT 'flag', transcript_id, flag_id, span FROM (SELECT DISTINCT ON (flag_id) * FROM flags)),
 f AS (SELECT *, {_form_sql('text')} AS form FROM t)
 """
-QUERIES = {"p3_found": p3_found, "p3_forms": p3_forms}
+QUERIES = {"p3_found": p3_found, "p3_forms": p3_forms, "p3_classes": p3_classes}
 ORACLES = {
     "p3_found": _TEXTS_SQL
     + """SELECT a.of AS pair_of, a.id AS id_a, b.id AS id_b FROM f a
     JOIN f b ON a.of = b.of AND a.transcript_id = b.transcript_id AND a.form = b.form AND a.id < b.id
     WHERE a.text <> b.text AND a.text <> '' AND b.text <> ''""",
+    "p3_classes": _TEXTS_SQL
+    + """, g AS (SELECT *, min(id) OVER w AS class_id, count(*) OVER w - count(*) OVER (PARTITION BY of, transcript_id, form, text) AS links FROM f
+      WHERE text <> '' WINDOW w AS (PARTITION BY of, transcript_id, form))
+    SELECT of AS text_of, id, class_id, links FROM g WHERE links > 0""",
     "p3_forms": _TEXTS_SQL + "SELECT of AS text_of, id, form FROM f",
 }
