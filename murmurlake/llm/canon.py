@@ -108,7 +108,7 @@ def _unstable() -> list[list[int]]:
 _RUNS = _unstable()
 #: Texts with any unstable character, as the JVM writes it; visible ASCII is told apart first, as that is cheap.
 UNSTABLE = r"[\x{0}-\x{9}\x{b}-\x{1f}\x{7f}-\x{10ffff}&&[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _RUNS) + "]]"
-_SEGMENT = re.compile("(?s).?[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _RUNS) + "]+")
+_SEGMENT = re.compile("(?s).?(?:\r\n|[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _RUNS) + "])+")
 
 
 _FORMS: dict[str, str] = {}
