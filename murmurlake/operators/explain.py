@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -116,16 +115,14 @@ def lengths(cues: DataFrame) -> DataFrame:
 def seeded_split(ids: DataFrame, key: str, first: int, sample: int, seed: int) -> DataFrame:
     """key, part: the ``first`` ids by name, a seeded sample of ``sample`` of the others, and the rest.
 
-    For lists of recordings, which are short; their number is checked.
+    The sample is the first of the others in the order of a seeded hash, so the same ids give the same split;
+    both draws are top-k in the engine, and null ids take no part.
     """
-    limit = 1_000_000
-    names = [r[0] for r in ids.select(key).distinct().orderBy(key).limit(limit + 1).collect()]
-    if len(names) > limit:
-        raise ValueError(f"more than {limit} ids to split")
-    others = names[first:]
-    drawn = set(random.Random(seed).sample(others, min(sample, len(others))))
-    parts = [(n, "first" if i < first else "sample" if n in drawn else "rest") for i, n in enumerate(names)]
-    return ids.sparkSession.createDataFrame(parts, f"{key} string, part string")
+    names = ids.select(F.col(key).cast("string").alias(key)).filter(F.col(key).isNotNull()).distinct()
+    head = names.orderBy(key).limit(first).withColumn("part", F.lit("first"))
+    lot = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key)).cast("binary"))
+    drawn = names.join(head, key, "left_anti").orderBy(lot, key).limit(sample).withColumn("part", F.lit("sample"))
+    return names.join(head.unionByName(drawn), key, "left").withColumn("part", F.coalesce("part", F.lit("rest")))
 
 
 CASES = "call_id string, region_no int, span string, candidate string, context string, kind string, entity boolean"

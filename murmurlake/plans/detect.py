@@ -117,6 +117,8 @@ QUERIES = {
     "term_codes": term_codes,
 }
 ORACLES = {
+    "spelling_pairs": f"""WITH d AS (SELECT DISTINCT variant, canonical FROM doc_vocab WHERE variant IS NOT NULL AND canonical IS NOT NULL)
+    SELECT variant, canonical, round({q.jw_sql('variant', 'canonical')}, 6) AS score FROM d""",
     "learned_candidates": _LEARN_SQL + "SELECT * FROM learnable WHERE n >= 3",
     "split_candidates": q.WORDS_SQL
     + ","

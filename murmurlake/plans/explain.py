@@ -99,7 +99,32 @@ QUERIES = {
     "cold_flags": cold_flags,
     "title_parts": title_parts,
 }
+_EDGED = f"trim(span, '{q._EDGE}' || ' ' || chr(9) || chr(10))"
+_SPAN = f"lower(coalesce(nullif({_EDGED}, ''), span))"
+_JSON = [
+    f"CASE WHEN {c} IS NOT NULL THEN '\"{n}\":' || to_json({c}) END"
+    for n, c in (("span", "span"), ("global_indices", "global_indices"), ("cue_index", "cue_index"), ("start", "start_us / 1e6"), ("end", "end_us / 1e6"), ("detector", "detector"),
+                 ("reason", "reason"), ("candidates", "candidates"), ("confidence", "confidence"), ("context", "context"))
+]
+_CELL = "replace(replace(coalesce({0}, ''), '|', '\\|'), chr(10), ' ')"
 ORACLES = {
+    "sure_flags": _F
+    + f""", g AS (SELECT flag_id, detector, coalesce(candidates, []) AS cs, {_SPAN} AS s, lower(candidates[1]) AS a, lower(candidates[2]) AS b FROM f)
+    SELECT flag_id, (detector = 'phonetic_internal' AND len(cs) > 0) AND (len(cs) = 1 OR {q.jw_sql('s', 'a')} - {q.jw_sql('s', 'b')} >= 0.15) AS sure FROM g""",
+    "markdown_rows": _F
+    + f""" SELECT flag_id, '| ' || concat_ws(' | ', {_CELL.format('span')}, {_CELL.format('candidates[1]')}, coalesce(round(confidence::DECIMAL(18, 9), 2)::DECIMAL(18, 2)::VARCHAR, ''),
+      {_CELL.format('detector')}, {_CELL.format('context')}, '') || ' |' AS row FROM f""",
+    "flag_json": "WITH f AS (SELECT DISTINCT ON (flag_id) * REPLACE (coalesce(candidates, []) AS candidates) FROM flags)"
+    + f" SELECT flag_id, '{{' || array_to_string(list_filter([{', '.join(_JSON)}], lambda x: x IS NOT NULL), ',') || '}}' AS json FROM f",
+    "call_split": """
+    WITH c AS (SELECT DISTINCT call_id FROM nlp_tokens WHERE call_id IS NOT NULL),
+    a AS (SELECT *, row_number() OVER (ORDER BY call_id) AS i, md5('28:' || call_id) AS lot FROM c),
+    b AS (SELECT *, row_number() OVER (PARTITION BY i <= 5 ORDER BY lot, call_id) AS k FROM a)
+    SELECT call_id, CASE WHEN i <= 5 THEN 'first' WHEN k <= 10 THEN 'sample' ELSE 'rest' END AS part FROM b""",
+    "title_parts": r"""
+    WITH t AS (SELECT DISTINCT filename FROM transcripts WHERE filename IS NOT NULL),
+    p AS (SELECT filename, list_filter(list_transform(regexp_split_to_array(regexp_replace(filename, '[_.]', ' - ', 'g'), '\||\s[-–—]\s|:|,'), lambda x: trim(x)), lambda x: x <> '') AS ps FROM t)
+    SELECT filename, array_to_string(list_filter(ps, lambda x, i: list_position(list_transform(ps, lambda y: lower(y)), lower(x)) = i), '|') AS phrases FROM p""",
     "flag_neighbours": _F
     + """, c AS (SELECT DISTINCT ON (cue_id) * FROM cues),
     n AS (SELECT *, lag(text) OVER w AS before, lead(text) OVER w AS after, row_number() OVER w AS k FROM c WINDOW w AS (PARTITION BY transcript_id ORDER BY cue_order, cue_id)),

@@ -182,6 +182,26 @@ h AS (SELECT cases.case_id, verdict, kind, count(m.flag_id) > 0 AS touched,
       FROM cases LEFT JOIN m USING (case_id) GROUP BY cases.case_id, verdict, kind)
 """
 )
+_SPAN_EDGE = "'" + q._EDGE + "' || ' ' || chr(9) || chr(10)"
+_EDITS = (
+    q.WORDS_SQL.replace("WITH c AS", "WITH RECURSIVE c AS")
+    + f""", f AS (SELECT DISTINCT transcript_id, list_min(global_indices) AS lo, list_max(global_indices) AS hi, candidates[1] AS replacement
+        FROM (SELECT DISTINCT ON (flag_id) * FROM flags) WHERE len(global_indices) > 0 AND len(candidates) > 0),
+    o AS (SELECT transcript_id, lo, hi, replacement, cue_id, cue_order, min(char_offset) AS a, max(char_offset + length(word)) AS b
+        FROM f JOIN w USING (transcript_id) WHERE global_index BETWEEN lo AND hi GROUP BY ALL),
+    x AS (SELECT *, min(cue_order) OVER k AS c0, max(cue_order) OVER k AS c1 FROM o WINDOW k AS (PARTITION BY transcript_id, lo, hi, replacement)),
+    y AS (SELECT x.*, substr(text, a + 1, b - a) AS raw, left(text, b) AS upto FROM x JOIN c USING (cue_id)),
+    z AS (SELECT *, length(raw) - length(ltrim(raw, {_SPAN_EDGE})) AS lead, length(raw) - length(rtrim(raw, {_SPAN_EDGE})) AS trail,
+        length(rtrim(upto, {_SPAN_EDGE})) AS bare_end FROM y),
+    edits AS (SELECT cue_id, (CASE WHEN c0 = c1 THEN CASE WHEN lead + trail >= length(raw) THEN a ELSE a + lead END WHEN cue_order = c0 THEN a + lead ELSE 0 END)::INT AS start,
+        (CASE WHEN c0 = c1 THEN CASE WHEN lead + trail >= length(raw) THEN b ELSE b - trail END WHEN cue_order <> c0 AND cue_order = c1 THEN bare_end ELSE b END)::INT AS end,
+        CASE WHEN cue_order = c0 THEN replacement ELSE '' END AS written, lo::BIGINT AS lo, hi::BIGINT AS hi, cue_order <> c0 AS cut FROM z)
+"""
+)
+_T = r"""t AS (SELECT call_id, token || coalesce(punctuation, '') AS text, coalesce(speaker, chr(0)) AS who, pos, {s} AS s, {e} AS e,
+      FROM (SELECT DISTINCT ON (token_id) * FROM nlp_tokens) WHERE side = 'hypothesis' AND token IS NOT NULL AND NOT regexp_matches(token, '^(<[^>]*>|\*+)?$'))""".format(
+    **{k: rf"CASE WHEN regexp_matches({c}, '^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$') THEN round(TRY_CAST(trim({c}) AS DOUBLE) * 1000000)::BIGINT END" for k, c in (("s", "ts"), ("e", "endts"))}
+)
 QUERIES = {
     "accepted_edits": accepted_edits,
     "spliced_cues": spliced_cues,
@@ -202,6 +222,30 @@ QUERIES = {
     "session_list": session_list,
 }
 ORACLES = {
+    "accepted_edits": _EDITS + "SELECT * FROM edits",
+    "spliced_cues": _EDITS
+    + rf""", nn AS (SELECT *, row_number() OVER (PARTITION BY cue_id ORDER BY start, lo, hi, "end", written) AS k FROM edits),
+    r AS (SELECT cue_id, 0::BIGINT AS k, 0 AS done_to, '' AS done FROM (SELECT DISTINCT cue_id FROM edits)
+      UNION ALL
+      SELECT r.cue_id, nn.k, CASE WHEN nn.start < done_to THEN done_to ELSE nn."end" END,
+        CASE WHEN nn.start < done_to THEN done ELSE done || substr(c.text, done_to + 1, nn.start - done_to) || nn.written END
+      FROM r JOIN nn ON nn.cue_id = r.cue_id AND nn.k = r.k + 1 JOIN c ON c.cue_id = r.cue_id),
+    ll AS (SELECT cue_id, arg_max(done_to, k) AS done_to, arg_max(done, k) AS done FROM r GROUP BY cue_id),
+    gg AS (SELECT cue_id, bool_or(cut) AS cut FROM edits GROUP BY cue_id),
+    uu AS (SELECT a.cue_id, coalesce(cut, false) AS cut, CASE WHEN ll.cue_id IS NULL THEN a.text
+        WHEN cut THEN regexp_replace(done || substr(a.text, done_to + 1), '^[{q._BL}]+', '') ELSE done || substr(a.text, done_to + 1) END AS text
+      FROM (SELECT DISTINCT ON (cue_id) * FROM cues) a LEFT JOIN ll USING (cue_id) LEFT JOIN gg USING (cue_id))
+    SELECT cue_id, text FROM uu WHERE NOT (cut AND text = '')""",
+    "token_cues": f"""WITH RECURSIVE {_T},
+    o AS (SELECT *, coalesce(s, e, 0) AS b, coalesce(e, s, 0) AS f, row_number() OVER (PARTITION BY call_id ORDER BY pos, text) AS n FROM t),
+    r AS (SELECT call_id, n, 1 AS k, b AS first, length(text) AS width, text, who, b, f FROM o WHERE n = 1
+      UNION ALL
+      SELECT call_id, n, CASE WHEN new THEN k + 1 ELSE k END, CASE WHEN new THEN b ELSE first END, CASE WHEN new THEN length(text) ELSE width + 1 + length(text) END, text, who, b, f
+      FROM (SELECT o.*, r.k, r.first, r.width, o.who <> r.who OR regexp_matches(r.text, '[.!?]$') OR r.width + 1 + length(o.text) > 42 OR o.f - r.first > 7000000 AS new
+            FROM r JOIN o ON o.call_id = r.call_id AND o.n = r.n + 1)),
+    g AS (SELECT call_id, k, arg_min(b, n) AS b, arg_max(f, n) AS f, string_agg(text, ' ' ORDER BY n) AS text FROM r GROUP BY call_id, k),
+    h AS (SELECT *, 10000 * k + greatest(-10000, max(b - 10000 * k) OVER (PARTITION BY call_id ORDER BY k)) AS start_us FROM g)
+    SELECT call_id, k AS cue_index, start_us::BIGINT AS start_us, greatest(f, start_us + 10000)::BIGINT AS end_us, text FROM h""",
     "located_terms": _OCC + "SELECT case_id, transcript_id, lo, hi FROM occ",
     "recall_by_kind": _HITS + "SELECT kind, count_if(touched) AS touched, count_if(proposed) AS proposed, count(*) AS cases FROM h WHERE verdict = 'should-flag' GROUP BY kind",
     "score_report": _HITS
@@ -236,3 +280,22 @@ ORACLES = {
     "session_list": """WITH t AS (SELECT DISTINCT ON (transcript_id) * FROM transcripts)
       SELECT session_id, transcript_id, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC NULLS LAST, transcript_id) AS place FROM t""",
 }
+
+_PLAN = ORACLES["chunk_plan"].rsplit("SELECT", 1)[0] + ", plan AS (SELECT transcript_id, chunk_no, lo, hi FROM r WHERE chunk_no >= 0)"
+ORACLES["chunk_texts"] = (
+    _PLAN
+    + """, b AS (SELECT plan.transcript_id, chunk_no, string_agg(word, ' ' ORDER BY global_index) FILTER (global_index < lo) AS before,
+        string_agg(word, ' ' ORDER BY global_index) FILTER (global_index > hi) AS after,
+        string_agg('[' || global_index || ']' || word, ' ' ORDER BY global_index) FILTER (global_index BETWEEN lo AND hi) AS numbered
+      FROM plan JOIN w ON w.transcript_id = plan.transcript_id AND global_index BETWEEN lo - 40 AND hi + 40 GROUP BY ALL),
+    n AS (SELECT plan.transcript_id, chunk_no, count(h.flag_id)::INT AS hints FROM plan LEFT JOIN h ON h.transcript_id = plan.transcript_id AND h.lo BETWEEN plan.lo AND plan.hi GROUP BY ALL)
+    SELECT transcript_id, chunk_no, coalesce(before, '') AS before, coalesce(after, '') AS after, numbered, hints FROM b JOIN n USING (transcript_id, chunk_no)"""
+)
+_SAID = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"
+ORACLES["stub_verdicts"] = (
+    _PLAN
+    + f""", v AS (SELECT h.transcript_id, h.lo, h.hi, any_value(g.candidates[1]) AS text, string_agg(word, ' ' ORDER BY global_index) AS stands
+      FROM h JOIN (SELECT DISTINCT ON (flag_id) * FROM flags) g USING (flag_id) JOIN plan ON plan.transcript_id = h.transcript_id AND h.lo BETWEEN plan.lo AND plan.hi
+      JOIN w ON w.transcript_id = h.transcript_id AND global_index BETWEEN h.lo AND least(h.hi, plan.hi) GROUP BY ALL)
+    SELECT transcript_id, lo::BIGINT AS start, hi::BIGINT AS "end", CASE WHEN {_SAID.format('text')} <> {_SAID.format('stands')} THEN text END AS replacement, 0.9::DOUBLE AS confidence, true AS judged FROM v"""
+)

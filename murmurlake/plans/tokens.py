@@ -94,6 +94,14 @@ CLEAN = f"replace(lower(trim(word, '{_EDGE}')), 'ß', 'ss')"
 _CORE = f"trim(word, '{_EDGE}')"
 
 
+def jw_sql(x: str, y: str) -> str:
+    """The similarity of two texts; the engine's own works on bytes, so every character beyond ASCII is first
+    written as a control character, the same in both texts."""
+    odd = f"list_distinct(regexp_extract_all({x} || {y}, '[^\\x00-\\x7F]'))"
+    plain = [f"array_to_string(list_transform(regexp_extract_all({t}, '(?s).'), lambda c: CASE WHEN list_position({odd}, c) > 0 THEN chr((13 + list_position({odd}, c))::INT) ELSE c END), '')" for t in (x, y)]
+    return f"jaro_winkler_similarity({plain[0]}, {plain[1]})"
+
+
 def _caps(x: str) -> str:
     return f"(upper({x}) = {x} AND lower({x}) <> {x})"
 
