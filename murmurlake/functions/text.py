@@ -107,6 +107,11 @@ def lenient_seconds(text: Column) -> Column:
     return F.when(text.rlike(r"^\s*[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?\s*$"), F.trim(text).try_cast("double"))
 
 
+def upload_date(at: Column) -> Column:
+    """A UTC time stamp as a page states it: ``4 Oct 2026, 09:05 UTC``; for sessions in UTC."""
+    return F.concat(F.date_format(at, "d MMM yyyy, HH:mm"), F.lit(" UTC"))
+
+
 def wait_text(us: Column) -> Column:
     """A wait, rounded up to the minute: ``1 h 5 min``, ``3 h`` or ``7 min``."""
     m = F.ceil(us / 60000000).cast("bigint")

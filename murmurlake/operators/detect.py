@@ -40,10 +40,11 @@ class Inputs:
     variants: DataFrame
     suspects: DataFrame
     freq: DataFrame
+    oov_zipf: float = V.OOV_ZIPF
 
 
-def inputs(words: DataFrame, terms: DataFrame, freq: DataFrame) -> Inputs:
-    """Prepare and write once what all detectors share."""
+def inputs(words: DataFrame, terms: DataFrame, freq: DataFrame, oov_zipf: float = V.OOV_ZIPF) -> Inputs:
+    """Prepare and write once what all detectors share; runs jobs. Words up to ``oov_zipf`` count as unknown."""
     w = words.withColumns({"cleaned": T.clean(F.col("word")), "wordlike": T.is_wordlike(F.col("word"))})
     w = name_like(w).join(freq.select("cleaned", "zipf"), "cleaned", "left").withColumn("zipf", F.coalesce("zipf", F.lit(0.0)))
     w = w.join(F.broadcast(V.stopwords(w).withColumn("stop", F.lit(True))), "cleaned", "left").withColumn("stop", F.coalesce("stop", F.lit(False)))
@@ -51,7 +52,14 @@ def inputs(words: DataFrame, terms: DataFrame, freq: DataFrame) -> Inputs:
     single, codes = V.vocabulary(terms)
     single, codes = materialise(single), materialise(codes)
     variants, suspects = V.learned(w, single, freq)
-    return Inputs(w, single, codes, materialise(variants), materialise(suspects), freq)
+    return Inputs(w, single, codes, materialise(variants), materialise(suspects), freq, oov_zipf)
+
+
+def _say(pattern: str, *values: Column) -> Column:
+    """A sentence with each value in quotes in the place of a pair of braces."""
+    texts = pattern.split("{}")
+    quoted = [x for text, v in zip(texts, values) for x in (F.lit(text), F.lit('"'), v, F.lit('"'))]
+    return F.concat(*quoted, F.lit(texts[len(values)]))
 
 
 def _flag(rows: DataFrame, detector: str, reason: Column, candidates: Column, confidence: Column) -> DataFrame:
@@ -64,7 +72,7 @@ def _flag(rows: DataFrame, detector: str, reason: Column, candidates: Column, co
 
 def out_of_vocabulary(i: Inputs) -> DataFrame:
     """Words nobody knows: not in the vocabulary, not learned, without a trace in the frequencies."""
-    w = i.words.filter(F.col("wordlike") & ~F.col("stop") & (F.length("cleaned") >= V.MIN_LENGTH) & (F.col("zipf") <= V.OOV_ZIPF))
+    w = i.words.filter(F.col("wordlike") & ~F.col("stop") & (F.length("cleaned") >= V.MIN_LENGTH) & (F.col("zipf") <= i.oov_zipf))
     w = w.withColumn("base", T.possessive_base(F.col("cleaned")))
     known, taught = i.terms.select("cleaned"), i.variants.filter("is_canonical").select("transcript_id", F.col("variant").alias("cleaned"))
     w = w.join(known, "cleaned", "left_anti").join(taught, ["transcript_id", "cleaned"], "left_anti")
@@ -73,11 +81,9 @@ def out_of_vocabulary(i: Inputs) -> DataFrame:
     lost = i.terms.select(F.concat("cleaned", F.lit("s")).alias("cleaned"), F.concat("display", F.lit("'s")).alias("owned"))
     w = w.join(lost, "cleaned", "left")
     found = F.coalesce("neighbours", F.when(F.col("owned").isNotNull(), F.array("owned")), F.array().cast("array<string>"))
-    reason = F.concat(
-        F.lit('"'), F.col("word"), F.lit('" is not a common word or known term'),
-        F.when(F.col("zipf") != 0, F.format_string(" (rare, zipf %.1f)", "zipf")).otherwise(""),
-        F.when(F.size(found) > 0, F.concat(F.lit('; it recurs, but always like a misheard "'), F.get(found, F.lit(0)), F.lit('"'))).otherwise(""),
-    )
+    rarity = F.when(F.col("zipf") != 0, F.format_string(", seldom seen (%.1f on the Zipf scale)", "zipf")).otherwise(", never seen")
+    near = F.when(F.size(found) > 0, _say(", near {}", F.get(found, F.lit(0)))).otherwise("")
+    reason = F.concat(_say("unknown word {}", F.col("word")), rarity, near)
     return _flag(w, "oov", reason, found, T.oov_confidence(F.col("zipf")))
 
 
@@ -85,7 +91,7 @@ def sounds_like_term(i: Inputs) -> DataFrame:
     """Words that sound like a vocabulary term, and terms written in the wrong case."""
     w = i.words.filter("wordlike").join(i.terms.select("cleaned", "display"), "cleaned", "left")
     cased = w.filter(F.col("display").isNotNull() & T.is_miscased(T.trim_edges(F.col("word")), F.col("display")))
-    why = F.concat(F.lit('"'), F.col("word"), F.lit('" is domain term "'), F.col("display"), F.lit('" with nonstandard casing'))
+    why = _say("{} is written {} in the vocabulary", F.col("word"), F.col("display"))
     cased = _flag(cased, "phonetic_vocab", why, F.array("display"), F.lit(0.6))
     open_ = w.filter(F.col("display").isNull() & ~F.col("stop") & (F.col("zipf") < V.KNOWN_ZIPF)).drop("display")
     single = i.codes.filter(F.size("parts") == 1).select("code", "term", "joined")
@@ -95,7 +101,7 @@ def sounds_like_term(i: Inputs) -> DataFrame:
     hit = open_.join(ranked, "cleaned")
     names = F.transform("r", lambda x: x["term"])
     top = -F.col("r")[0]["s"]
-    why = F.concat(F.lit('"'), F.col("word"), F.lit('" sounds like domain term "'), names[0], F.lit('"'))
+    why = _say("{} has the sound of the term {}", F.col("word"), names[0])
     return cased.unionByName(_flag(hit, "phonetic_vocab", why, names, F.least(F.lit(0.95), 0.6 + 0.35 * top)))
 
 
@@ -123,7 +129,7 @@ def sounds_like_own(i: Inputs) -> DataFrame:
     near = s.filter(~F.col("good")).join(lists, "transcript_id").withColumn("at", best(F.col("cleaned"), F.transform("known", lambda x: x["variant"])))
     near = near.filter(F.col("at") >= 0).select("transcript_id", "cleaned", F.col("known")[F.col("at")]["shown"].alias("shown"), F.col("known")[F.col("at")]["times"].alias("times"))
     first = w.join(near, ["transcript_id", "cleaned"])
-    why = F.concat(F.lit('"'), F.col("word"), F.lit('" is likely a mistranscription of "'), F.col("shown"), F.lit('", which recurs '), F.col("times").cast("string"), F.lit(" times elsewhere in this transcript"))
+    why = F.concat(_say("{} is close to {}", F.col("word"), F.col("shown")), F.format_string(", heard %d times here", "times"))
     flags = _flag(first, "phonetic_internal", why, F.array("shown"), F.lit(0.7))
     # pass 2: the same code within the transcript; of several codes the smallest that has a candidate decides
     coded = s.join(P.with_codes(s.select("cleaned").distinct(), "cleaned"), "cleaned")
@@ -136,7 +142,7 @@ def sounds_like_own(i: Inputs) -> DataFrame:
     rest = w.join(per, ["transcript_id", "cleaned"])
     usable = F.transform("by_code", lambda c: F.transform(F.filter(c["r"], lambda x: x["named"] | ~F.col("name_like")), lambda x: x["sibling"]))
     rest = rest.withColumn("names", F.get(F.filter(usable, lambda a: F.size(a) > 0), F.lit(0))).filter(F.col("names").isNotNull())
-    why = F.concat(F.lit('"'), F.col("word"), F.lit('" sounds like "'), F.col("names")[0], F.lit('" used elsewhere in this transcript'))
+    why = _say("{} has the sound of {}, a word used here", F.col("word"), F.col("names")[0])
     return flags.unionByName(_flag(rest, "phonetic_internal", why, F.col("names"), F.lit(0.7)))
 
 
@@ -175,7 +181,7 @@ def split_word(i: Inputs) -> DataFrame:
     keep = F.aggregate("all", F.array().cast(kind), lambda kept, e: F.when(F.exists(kept, lambda k: (k["lo"] <= e["hi"]) & (e["lo"] <= k["hi"])), kept).otherwise(F.concat(kept, F.array(e))))
     chosen = per.select("transcript_id", "cue_index", "start_us", "end_us", F.inline(keep))
     sound = F.col("heard").isNotNull()
-    why = F.when(sound, F.concat(F.lit('"'), F.col("span"), F.lit('" joined sounds like "'), F.get("heard", F.lit(0)), F.lit('"'))).otherwise(F.concat(F.lit('"'), F.col("span"), F.lit('" is likely the single word "'), F.col("joined"), F.lit('"')))
+    why = F.when(sound, _say("{} run together has the sound of {}", F.col("span"), F.get("heard", F.lit(0)))).otherwise(_say("{} run together is the word {}", F.col("span"), F.col("joined")))
     return chosen.select(
         "transcript_id", "lo", "hi", "span", "cue_index", "start_us", "end_us", F.lit("split_word").alias("detector"), why.alias("reason"),
         F.coalesce("heard", F.array("joined")).alias("candidates"), F.when(sound, F.lit(0.82)).otherwise(F.lit(0.75)).alias("confidence"),

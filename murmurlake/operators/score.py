@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmurlake.functions import text as T
@@ -64,6 +66,29 @@ def case_hits(cases: DataFrame, occurrences: DataFrame, flags: DataFrame) -> Dat
     return out.withColumns({"touched": F.coalesce("touched", F.lit(False)), "proposed": F.coalesce("proposed", F.lit(False))})
 
 
+def sources_of(cases: DataFrame, exhaustive: DataFrame) -> DataFrame:
+    """source, place: every source once, those of cases in the order of ``case_id`` first, then the exhaustive
+    ones by name."""
+    first = cases.groupBy("source").agg(F.min("case_id").alias("at")).withColumn("rank", F.lit(0))
+    more = exhaustive.select("source").distinct().join(first, "source", "left_anti").withColumns({"at": F.col("source"), "rank": F.lit(1)})
+    both = first.unionByName(more)
+    return both.select("source", F.row_number().over(Window.orderBy("rank", "at")).alias("place"))
+
+
+def evaluate(cases: DataFrame, words: DataFrame, system: Callable[[], DataFrame], match_candidates: bool = False) -> DataFrame:
+    """The report of a system over labelled cases.
+
+    ``cases`` has case_id, transcript_id, phrase, verdict, candidate, kind, perhaps context and entity. All
+    cases are located before ``system`` is called, and ``ValueError`` is raised if one is not found, so a
+    costly run is not wasted on a wrong corpus. ``system`` gives flags with flag_id, lo, hi, detector, candidates.
+    """
+    found = materialise(locate(cases, words))
+    require_found(cases, found)
+    flags = materialise(system())
+    errors = found.filter("verdict = 'should-flag'").select("transcript_id", F.explode(F.sequence("lo", "hi")).alias("gi"))
+    return report(case_hits(cases, found, flags), flags, errors, match_candidates)
+
+
 def report(hits: DataFrame, flags: DataFrame, errors: DataFrame, match_candidates: bool = True) -> DataFrame:
     """One row: recall, specificity, cold rate, flag precision and their counts.
 
@@ -77,7 +102,7 @@ def report(hits: DataFrame, flags: DataFrame, errors: DataFrame, match_candidate
     entity = should & F.col("entity") if "entity" in hits.columns else None
     tally = {} if entity is None else {"entity_caught": F.count_if(entity & hit), "entity_cases": F.count_if(entity)}
     per_case = hits.agg(F.count_if(should & hit).alias("tp"), F.count_if(should & ~hit).alias("fn"), F.count_if(shouldnt & ~F.col("touched")).alias("tn"), F.count_if(shouldnt & F.col("touched")).alias("fp"), *[c.alias(n) for n, c in tally.items()])
-    cold = F.array_contains(F.split("detector", r"\+"), "oov") & (F.size("candidates") == 0)
+    cold = is_cold(flags)
     wrong = flags.select("flag_id", "transcript_id", F.explode(F.sequence("lo", "hi")).alias("gi")).join(errors.distinct(), ["transcript_id", "gi"], "left_semi").select("flag_id").distinct()
     per_flag = flags.join(wrong.withColumn("wrong", F.lit(True)), "flag_id", "left").agg(F.count("*").alias("flags"), F.count_if(cold).alias("cold"), F.count_if(F.col("wrong").isNotNull()).alias("touching"))
     # two tables of one row each, put side by side by a constant key
@@ -93,6 +118,18 @@ def report(hits: DataFrame, flags: DataFrame, errors: DataFrame, match_candidate
     )
 
 
+def is_cold(flags: DataFrame) -> Column:
+    """Whether a flag is an unknown word nobody has a candidate for; false where the detector is null."""
+    return F.coalesce(F.array_contains(F.split("detector", r"\+"), "oov") & (F.size("candidates") == 0), F.lit(False))
+
+
+def headline(hits: DataFrame, kinds: Sequence[str], kind: str = "kind") -> DataFrame:
+    """One row: caught of cases over the chosen kinds, and the share (null without cases)."""
+    rows = by_kind(hits, kind).filter(F.col(kind).isin(*kinds))
+    sums = rows.agg(F.coalesce(F.sum("touched"), F.lit(0)).alias("caught"), F.coalesce(F.sum("cases"), F.lit(0)).alias("cases"))
+    return sums.withColumn("recall", F.try_divide("caught", "cases"))
+
+
 def by_kind(hits: DataFrame, kind: str = "kind") -> DataFrame:
     """Caught and all should-flag cases of every kind, by touch and with the right candidate."""
     rows = hits.filter((F.col("verdict") == "should-flag") & F.col(kind).isNotNull())

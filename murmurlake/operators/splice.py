@@ -53,3 +53,44 @@ def splice(cues: DataFrame, words: DataFrame, accepted: DataFrame) -> DataFrame:
     text = F.when(F.col("edits").isNull(), F.col("text")).when(F.col("cut"), F.regexp_replace(done, r"(?U)^\s+", "")).otherwise(done)
     out = rows.withColumn("text", text)
     return out.filter(~(F.coalesce("cut", F.lit(False)) & (F.col("text") == ""))).drop("edits", "cut")
+
+
+PIECE = "struct<text:string,original:string,lo:bigint,hi:bigint>"
+
+
+def spliced_pieces(cues: DataFrame, words: DataFrame, accepted: DataFrame) -> DataFrame:
+    """How every cue reads after its edits, for a review: transcript_id, cue_id, pieces, gone, merged_into.
+
+    ``pieces`` are the parts of the spliced text in order: what is written (with the ``original`` it replaces
+    and the span lo..hi it belongs to) and what was left as it stood (``original`` and span null); joined they
+    give the text of ``splice``. A cue whose words all went into an earlier one is ``gone``, and
+    ``merged_into`` is the cue_id that has them; it is also set where a cue only lost its leading words.
+    """
+    edits = span_edits(accepted, words, cues)
+    listed = edits.groupBy("cue_id").agg(F.array_sort(F.collect_list(F.struct("start", "lo", "hi", "end", "written"))).alias("edits"), F.bool_or("cut").alias("cut"))
+    opens = edits.filter("NOT cut").select("lo", "hi", F.col("cue_id").alias("merged_into"))
+    held = once(cues.select("cue_id", "transcript_id"), "cue_id")
+    first = opens.join(held.withColumnRenamed("cue_id", "merged_into"), "merged_into")
+    later = edits.filter("cut").select("cue_id", "lo", "hi").join(held, "cue_id")
+    into = later.join(first, ["transcript_id", "lo", "hi"]).groupBy("cue_id").agg(F.min("merged_into").alias("merged_into"))
+    rows = once(cues.select("transcript_id", "cue_id", "text"), "cue_id").join(listed, "cue_id", "left").join(into, "cue_id", "left")
+
+    def kept(at, upto):
+        return F.struct(F.substring("text", at + 1, upto - at).alias("text"), F.lit(None).cast("string").alias("original"), F.lit(None).cast("bigint").alias("lo"), F.lit(None).cast("bigint").alias("hi"))
+
+    def step(acc, e):
+        written = F.struct(e["written"].alias("text"), F.substring("text", e["start"] + 1, e["end"] - e["start"]).alias("original"), e["lo"].alias("lo"), e["hi"].alias("hi"))
+        return F.when(e["start"] < acc["at"], acc).otherwise(F.struct(e["end"].alias("at"), F.concat(acc["done"], F.array(kept(acc["at"], e["start"]), written)).alias("done")))
+
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{PIECE}>").alias("done"))
+    some = F.coalesce("edits", F.array().cast(listed.schema["edits"].dataType))
+    done = F.aggregate(some, begin, step, lambda acc: F.concat(acc["done"], F.array(kept(acc["at"], F.length("text")))))
+    rows = rows.withColumn("pieces", F.filter(done, lambda p: (p["text"] != "") | p["original"].isNotNull()))
+    # blanks that a lost beginning leaves are stripped from the first text that is left
+    firm = F.coalesce(F.array_min(F.filter(F.transform("pieces", lambda p, i: F.when(p["text"].rlike(r"(?U)\S"), i)), lambda i: i.isNotNull())), F.size("pieces"))
+    cut = F.coalesce("cut", F.lit(False))
+    rows = rows.withColumn("firm", firm)
+    tidy = F.transform("pieces", lambda p, i: F.struct(F.when(cut, F.when(i < F.col("firm"), "").when(i == F.col("firm"), F.regexp_replace(p["text"], r"(?U)^\s+", "")).otherwise(p["text"])).otherwise(p["text"]).alias("text"), p["original"], p["lo"], p["hi"]))
+    out = rows.withColumn("pieces", tidy)
+    gone = cut & (F.array_join(F.transform("pieces", lambda p: p["text"]), "") == "")
+    return out.select("transcript_id", "cue_id", "pieces", gone.alias("gone"), "merged_into")

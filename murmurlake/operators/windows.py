@@ -41,6 +41,11 @@ def wait_until_fits(df: DataFrame, key: str, at_us: str, value: str, span_us: in
     return total.join(fits, key, "left").select(key, F.when(now_ok, F.lit(0)).otherwise(F.col("__later")).alias("wait_us"))
 
 
+def day_events(df: DataFrame, at: str, event: str) -> DataFrame:
+    """Rows per UTC day (as text) and event; rows without a time have no day."""
+    return df.groupBy(F.to_date(at).cast("string").alias("day"), event).agg(F.count("*").alias("n"))
+
+
 def daily_counts(df: DataFrame, at: str, event: str, events: Sequence[str] | None = None) -> DataFrame:
     """Rows per UTC day, one column for each event; name the events to save the pass that finds them."""
     return df.filter(F.col(at).isNotNull()).groupBy(F.to_date(at).alias("day")).pivot(event, list(events) if events else None).count().fillna(0)

@@ -9,6 +9,7 @@ from murmurlake.functions import text as T
 from murmurlake.operators import explain as X
 from murmurlake.operators import tokens as O
 from murmurlake.operators.records import once
+from murmurlake.operators.score import is_cold
 from murmurlake.plans import repair as r
 from murmurlake.plans import tokens as q
 from murmurlake.session import materialise
@@ -74,8 +75,7 @@ def flag_json(spark: SparkSession, root: str) -> DataFrame:
 def cold_flags(spark: SparkSession, root: str) -> DataFrame:
     """Flags nobody has a candidate for, per transcript."""
     f = _flags(spark, root)
-    cold = F.array_contains(F.split("detector", r"\+"), "oov") & (F.size("candidates") == 0)
-    return f.groupBy("transcript_id").agg(F.count("*").alias("flags"), F.count_if(F.coalesce(cold, F.lit(False))).alias("cold"))
+    return f.groupBy("transcript_id").agg(F.count("*").alias("flags"), F.count_if(is_cold(f)).alias("cold"))
 
 
 def title_parts(spark: SparkSession, root: str) -> DataFrame:

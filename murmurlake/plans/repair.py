@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmurlake.operators import align as A
@@ -13,7 +13,8 @@ from murmurlake.operators import verdicts as V
 from murmurlake.operators import windows as W
 from murmurlake.operators.detect import islands
 from murmurlake.operators.records import once
-from murmurlake.operators.splice import span_edits, splice
+from murmurlake.operators.scans import scan_before
+from murmurlake.operators.splice import span_edits, splice, spliced_pieces
 from murmurlake.plans import tokens as q
 from murmurlake.session import materialise
 from murmurlake.sources.tables import table
@@ -54,6 +55,15 @@ def spliced_cues(spark: SparkSession, root: str) -> DataFrame:
     return splice(table(spark, root, "cues"), _words(spark, root), _accepted(spark, root)).select("cue_id", "text")
 
 
+def splice_origins(spark: SparkSession, root: str) -> DataFrame:
+    """Every written piece with what it replaces, and the cues whose words went into another one."""
+    out = spliced_pieces(table(spark, root, "cues"), _words(spark, root), _accepted(spark, root))
+    text = F.array_join(F.transform("pieces", lambda p: p["text"]), "")
+    return out.select("cue_id", "gone", "merged_into", F.filter("pieces", lambda p: p["original"].isNotNull()).alias("written"), text.alias("text")).select(
+        "cue_id", "gone", "merged_into", F.array_join(F.transform("written", lambda p: F.concat(p["original"], F.lit(" -> "), p["text"])), "; ").alias("written"), "text"
+    )
+
+
 def chunk_plan(spark: SparkSession, root: str) -> DataFrame:
     return C.plan_chunks(_words(spark, root), _hints(spark, root))
 
@@ -137,8 +147,7 @@ def next_returns(spark: SparkSession, root: str) -> DataFrame:
 
 
 def day_counts(spark: SparkSession, root: str) -> DataFrame:
-    e = table(spark, root, "events")
-    return e.groupBy(F.to_date("ts").cast("string").alias("day"), "event_type").agg(F.count("*").alias("n"))
+    return W.day_events(table(spark, root, "events"), "ts", "event_type")
 
 
 def detail_counts(spark: SparkSession, root: str) -> DataFrame:
@@ -153,8 +162,11 @@ def idle_sessions(spark: SparkSession, root: str) -> DataFrame:
 def session_list(spark: SparkSession, root: str) -> DataFrame:
     """Transcripts of every session, the newest first."""
     t = once(table(spark, root, "transcripts"), "transcript_id")
-    newest = Window.partitionBy("session_id").orderBy(F.desc_nulls_last("created_at"), "transcript_id")
-    return t.withColumn("place", F.row_number().over(newest)).select("session_id", "transcript_id", "place")
+    # a session may hold a large part of all rows: numbered block by block of time, the newest first
+    age = F.coalesce(-F.unix_micros(F.col("created_at").cast("timestamp")), F.lit((1 << 62)))
+    rows = materialise(t.select("session_id", "transcript_id", age.alias("age"), F.shiftright(age, 36).alias("block"), F.lit(1).cast("bigint").alias("one")))
+    placed = scan_before(rows, ["session_id"], "block", ["age", "transcript_id"], "one", "n", fold="sum")
+    return placed.select("session_id", "transcript_id", (F.coalesce("n", F.lit(0)) + 1).cast("int").alias("place"))
 
 
 _CASES = """
@@ -205,6 +217,7 @@ _T = r"""t AS (SELECT call_id, token || coalesce(punctuation, '') AS text, coale
 QUERIES = {
     "accepted_edits": accepted_edits,
     "spliced_cues": spliced_cues,
+    "splice_origins": splice_origins,
     "chunk_plan": chunk_plan,
     "chunk_texts": chunk_texts,
     "stub_verdicts": stub_verdicts,
@@ -299,3 +312,16 @@ ORACLES["stub_verdicts"] = (
       JOIN w ON w.transcript_id = h.transcript_id AND global_index BETWEEN h.lo AND least(h.hi, plan.hi) GROUP BY ALL)
     SELECT transcript_id, lo::BIGINT AS start, hi::BIGINT AS "end", CASE WHEN {_SAID.format('text')} <> {_SAID.format('stands')} THEN text END AS replacement, 0.9::DOUBLE AS confidence, true AS judged FROM v"""
 )
+
+ORACLES["splice_origins"] = (
+    ORACLES["spliced_cues"]
+    .replace("'' AS done FROM", "'' AS done, '' AS log FROM")
+    .replace("|| nn.written END\n", """|| nn.written END, CASE WHEN nn.start < done_to THEN log
+          ELSE log || CASE WHEN log = '' THEN '' ELSE '; ' END || substr(c.text, nn.start + 1, nn."end" - nn.start) || ' -> ' || nn.written END\n""")
+    .replace("arg_max(done, k) AS done FROM", "arg_max(done, k) AS done, arg_max(log, k) AS log FROM")
+    .replace("uu AS (SELECT a.cue_id,", "uu AS (SELECT a.cue_id, coalesce(log, '') AS written,")
+    .rsplit("SELECT cue_id, text", 1)[0]
+    + """, ii AS (SELECT e.cue_id, min(o.cue_id) AS merged_into FROM edits e JOIN edits o ON e.lo = o.lo AND e.hi = o.hi AND e.cut AND NOT o.cut
+      JOIN c ec ON ec.cue_id = e.cue_id JOIN c oc ON oc.cue_id = o.cue_id AND oc.transcript_id = ec.transcript_id GROUP BY e.cue_id)
+    SELECT uu.cue_id, cut AND coalesce(text, '') = '' AS gone, merged_into, written, coalesce(text, '') AS text FROM uu LEFT JOIN ii USING (cue_id)"""
+)

@@ -93,8 +93,99 @@ def flag_json(flags: DataFrame, out: str = "json") -> DataFrame:
     )
 
 
-def upsert(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """``table`` with the rows of ``changes`` in place of those with the same keys; of several changes of one
-    key any one is kept."""
-    new = changes.select(*table.columns).dropDuplicates(keys)
+def upsert(table: DataFrame, changes: DataFrame, keys: list[str], version: str | None = None) -> DataFrame:
+    """``table`` with the rows of ``changes`` in place of those with the same keys.
+
+    Of several changes of one key the one with the highest ``version`` (a column of ``changes``) is kept, and
+    among equal versions, or without one, the greatest row by its columns in order; so the result does not
+    depend on chance.
+    """
+    order = F.struct(*([F.col(version)] if version else []), *table.columns)
+    new = changes.groupBy(*keys).agg(F.max_by(F.struct(*table.columns), order).alias("__row")).select("__row.*")
     return table.join(new.select(*keys), keys, "left_anti").unionByName(new)
+
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """A comma-separated table with a header, every field as text; quoted fields may hold line breaks."""
+    return spark.read.csv(path, header=True, multiLine=True, escape='"')
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """source, priming_terms, exhaustive from JSON ``{"sources": {name: {"priming_terms": [...]}}}``; every
+    source that is named is exhaustive, one without terms has an empty list."""
+    raw = spark.read.format("text").option("wholetext", True).load(path)
+    named = raw.select(F.explode(F.from_json("value", "sources map<string,struct<priming_terms:array<string>>>")["sources"]).alias("source", "v"))
+    return named.select("source", F.coalesce("v.priming_terms", F.array().cast("array<string>")).alias("priming_terms"), F.lit(True).alias("exhaustive"))
+
+
+DECISION = "span string, model string, replacement string, confidence double, rationale string"
+
+
+def read_decisions(spark: SparkSession, path: str) -> DataFrame:
+    """Remembered decisions (``DECISION``) from JSON ``{span: {model: decision}}``; a missing or garbled file
+    gives none, a missing confidence is 0."""
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs):
+        return spark.createDataFrame([], DECISION)
+    raw = spark.read.format("text").option("wholetext", True).load(path)
+    kind = "map<string,map<string,struct<replacement:string,confidence:double,rationale:string>>>"
+    each = raw.select(F.explode(F.from_json("value", kind)).alias("span", "by")).select("span", F.explode("by").alias("model", "d"))
+    return each.select("span", "model", "d.replacement", F.coalesce("d.confidence", F.lit(0.0)).alias("confidence"), F.coalesce("d.rationale", F.lit("")).alias("rationale"))
+
+
+def compose_decisions(decisions: DataFrame) -> DataFrame:
+    """One row ``content``: the JSON that ``read_decisions`` reads, keys in order. A cache file is one value."""
+    d = F.struct("replacement", "confidence", "rationale")
+    per = decisions.groupBy("span").agg(F.array_sort(F.collect_list(F.struct("model", d.alias("d")))).alias("by"))
+    spans = F.transform(F.array_sort(F.collect_list(F.struct("span", "by"))), lambda e: F.struct(e["span"], F.map_from_entries(e["by"])))
+    return per.agg(F.to_json(F.map_from_entries(spans)).alias("content"))
+
+
+def with_decision(flags: DataFrame, decisions: DataFrame, model: str) -> DataFrame:
+    """Flags with the remembered ``decision`` of ``model`` on their clean span; null where there is none, which
+    is what is left to judge."""
+    known = decisions.filter(F.col("model") == model).select(F.col("span").alias("__span"), F.struct("replacement", "confidence", "rationale").alias("decision"))
+    return flags.withColumn("__span", T.clean(F.col("span"))).join(known, "__span", "left").drop("__span")
+
+
+def append_ledger(entries: DataFrame, path: str) -> None:
+    """Append entries (``LEDGER``) to a ledger of JSON lines."""
+    entries.select([c.split()[0] for c in LEDGER.split(", ")]).write.mode("append").json(path, timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+
+
+def compact_ledger(spark: SparkSession, path: str, into: str, keep_us: int, now: str) -> DataFrame:
+    """Write the entries of the last ``keep_us`` before ``now`` (UTC) to the folder ``into`` and return them; the
+    old ledger stays whole until the caller drops it. Lines that do not parse are left behind."""
+    recent = parse_ledger(spark.read.text(path)).filter(F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros("at") < keep_us)
+    append_ledger(recent, into)
+    return parse_ledger(spark.read.text(into))
+
+
+#: What a detail of a usage line may look like (fixed value).
+DETAIL = r"^[A-Za-z0-9_.-]+$"
+
+
+def append_usage(rows: DataFrame, path: str, events: list[str]) -> None:
+    """Append ``time event [detail]`` lines (columns at, event, detail). Raises ``ValueError`` before anything is
+    written if an event is unknown or a detail unsafe."""
+    bad = rows.filter(F.col("event").isNull() | ~F.col("event").isin(*events) | F.coalesce(~F.col("detail").rlike(DETAIL), F.lit(False)))
+    first = bad.select("event", "detail").limit(1).collect()
+    if first:
+        raise ValueError(f"unknown event or unsafe detail: {first[0]}")
+    rows.select(F.concat_ws(" ", F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"), "event", "detail").alias("value")).write.mode("append").text(path)
+
+
+def write_sidecar(outcomes: DataFrame, path: str) -> None:
+    """One JSON object for each flag: ``flag`` (its ten fields), ``outcome`` and, where there is one, ``correction``."""
+    flag = F.struct("span", "global_indices", "cue_index", (F.col("start_us") / 1e6).alias("start"), (F.col("end_us") / 1e6).alias("end"), "detector", "reason", "candidates", "confidence", "context")
+    outcomes.select(flag.alias("flag"), "outcome", *[c for c in ("correction",) if c in outcomes.columns]).write.mode("overwrite").json(path)
+
+
+def without(table: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """``table`` without the rows whose key is in ``gone``; null keys stay."""
+    return table.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def find_record(table: DataFrame, key: str, value: str) -> DataFrame:
+    """The rows of one key in any session; none if there is no such key. The filter reaches the scan."""
+    return table.filter(F.col(key) == value)

@@ -8,7 +8,7 @@ from murmurlake.operators import chunks as C
 from murmurlake.operators import detect as D
 from murmurlake.operators import score as S
 from murmurlake.operators import windows as W
-from murmurlake.operators.splice import splice
+from murmurlake.operators.splice import splice, spliced_pieces
 from murmurlake.operators.tokens import words
 
 CUES = "cue_id bigint, transcript_id string, cue_order int, cue_index int, start_us bigint, end_us bigint, text string"
@@ -39,6 +39,19 @@ def test_splice_over_cues(spark):
     assert spliced(spark, ["the cough", "ka so"], (1, 2, "Kafka")) == ["the Kafka", "so"]
 
 
+def test_pieces_tell_what_came_from_where(spark):
+    cues = cues_of(spark, "the cough", "ka, so", "it ka", "ka", None, "plain")
+    accepted = spark.createDataFrame([("t", 1, 2, "Kafka"), ("t", 5, 6, "Raft")], "transcript_id string, lo bigint, hi bigint, replacement string")
+    got = {r.cue_id: r for r in spliced_pieces(cues, words(cues), accepted).collect()}
+    parts = lambda i: [tuple(p) for p in got[i].pieces or []]
+    assert parts(0) == [("the ", None, None, None), ("Kafka", "cough", 1, 2)]
+    assert parts(1) == [("", "ka", 1, 2), (", so", None, None, None)] and (got[1].gone, got[1].merged_into) == (False, 0)
+    assert parts(2) == [("it ", None, None, None), ("Raft", "ka", 5, 6)] and got[2].merged_into is None
+    assert (got[3].gone, got[3].merged_into) == (True, 2) and parts(5) == [("plain", None, None, None)] and got[4].gone is not True
+    text = {r.cue_id: r.text for r in splice(cues, words(cues), accepted).collect()}
+    assert {i: "".join(p[0] for p in parts(i)) for i in got if not got[i].gone and i != 4} == {i: t for i, t in text.items() if t is not None}
+
+
 def test_merge_widens_candidates(spark):
     cues = cues_of(spark, "met Nome, Brown today")
     flags = spark.createDataFrame(
