@@ -53,6 +53,9 @@ LOOKALIKES = {
 #: Hyphens of the same look as the ASCII one (fixed values).
 HYPHENS = "\u2010\u2011\u2043\u02d7\ufe63\uff0d"
 REMEMBERED = 200_000
+#: Categories of blanks, breaks, controls and formats, and further characters without a look (fixed values).
+_INVISIBLE = ("Zs", "Zl", "Zp", "Cc", "Cf")
+_IGNORED = frozenset([0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0), *range(0x180B, 0x180E)])
 #: Code points that are neither looked up nor composed, one by one: ideographs, syllables and private use.
 _PLAIN = ((0x3400, 0xA000), (0xAC00, 0xF900), (0x20000, 0xE0000), (0xE1000, 0x110000))
 
@@ -74,7 +77,7 @@ def _single(ch: str) -> str:
     if kind in ("Cf", "Cc") and ch != "\n":
         return ""
     # default-ignorable characters that are neither controls nor formats
-    if n == 0x034F or 0xFE00 <= n <= 0xFE0F or 0xE0100 <= n <= 0xE01EF or 0x180B <= n <= 0x180D or n in (0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0):
+    if n in _IGNORED:
         return ""
     if 0xFB00 <= n <= 0xFB06 or unicodedata.decomposition(ch).startswith("<font>"):
         return unicodedata.normalize("NFKC", ch)
@@ -88,14 +91,20 @@ def _segment(text: str) -> str:
 
 def _unstable() -> list[list[int]]:
     """The unstable characters as ranges, by rule from the properties of each."""
-    looked_at = [n for lo, hi in zip((0, *(hi for _, hi in _PLAIN)), (lo for lo, _ in _PLAIN)) for n in range(lo, hi) if not 0xD800 <= n < 0xE000]
+    decomposition, combining, category = unicodedata.decomposition, unicodedata.combining, unicodedata.category
     # what may compose with the character before it
-    seconds = {"\u1161", *map(chr, range(0x1161, 0x1176)), *map(chr, range(0x11A8, 0x11C3))}
-    for n in looked_at:
-        parts = unicodedata.decomposition(chr(n)).split()
-        if len(parts) == 2 and parts[0][0] != "<":
-            seconds.add(chr(int(parts[1], 16)))
-    found = [n for n in looked_at if (c := chr(n)) in seconds or unicodedata.combining(c) or _segment(c) != c]
+    seconds = {*map(chr, range(0x1161, 0x1176)), *map(chr, range(0x11A8, 0x11C3))}
+    found = []
+    for lo, hi in zip((0, *(hi for _, hi in _PLAIN)), (lo for lo, _ in _PLAIN)):
+        for n in range(lo, min(hi, 0x110000)):
+            c = chr(n)
+            parts = decomposition(c)
+            if parts and parts[0] != "<" and " " in parts:
+                seconds.add(chr(int(parts.split()[1], 16)))
+            # only what has one of these properties can have another form than itself
+            if combining(c) or ((parts or c in LOOKALIKES or c in HYPHENS or category(c) in _INVISIBLE or n in _IGNORED) and _segment(c) != c):
+                found.append(n)
+    found = sorted({*found, *map(ord, seconds)})
     runs: list[list[int]] = []
     for n in found:
         if runs and n == runs[-1][1] + 1:
@@ -108,14 +117,16 @@ def _unstable() -> list[list[int]]:
 _RUNS = _unstable()
 #: Texts with any unstable character, as the JVM writes it; visible ASCII is told apart first, as that is cheap.
 UNSTABLE = r"[\x{0}-\x{9}\x{b}-\x{1f}\x{7f}-\x{10ffff}&&[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _RUNS) + "]]"
-_SEGMENT = re.compile("(?s).?(?:\r\n|[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _RUNS) + "])+")
+# the ranges of the basic plane alone become a bitmap; the others are looked at behind a cheap test
+_BASIC = "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in _RUNS if b <= 0xFFFF)
+_OTHER = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _RUNS if a > 0xFFFF)
+_SEGMENT = re.compile(f"(?:\r\n|[{_BASIC}]|(?=[\U00010000-\U0010ffff])[{_OTHER}])+")
 
 
 _FORMS: dict[str, str] = {}
 
 
-def _remembered(m: re.Match) -> str:
-    seg = m.group()
+def _remembered(seg: str) -> str:
     form = _FORMS.get(seg)
     if form is None:
         if len(_FORMS) >= REMEMBERED:
@@ -130,7 +141,15 @@ def canonical(text: str) -> str:
     """The form of one text, blanks at the ends included."""
     if text.isascii() and text.isprintable():
         return text
-    spliced = _SEGMENT.sub(_remembered, text)
+    parts, at = [], 0
+    for m in _SEGMENT.finditer(text):
+        # with the character before it
+        lo = max(m.start() - 1, at)
+        parts += [text[at:lo], _remembered(text[lo : m.end()])]
+        at = m.end()
+    if not parts:
+        return text
+    spliced = "".join([*parts, text[at:]])
     # a removed character may have stood between a letter and its accent, or between carriage return and feed
     return spliced if unicodedata.is_normalized("NFC", spliced) else unicodedata.normalize("NFC", spliced)
 
